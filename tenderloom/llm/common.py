@@ -156,6 +156,6 @@ def reduceat(op, values: np.ndarray, first: np.ndarray, empty) -> np.ndarray:
     """op over each range of values; `empty` for an empty range."""
     n = np.diff(first)
     out = np.full(len(n), empty, values.dtype)
-    if full := (n > 0).any() if len(n) else False:
+    if (n > 0).any():
         out[n > 0] = op.reduceat(values, first[:-1][n > 0])
     return out
