@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderloom.llm import blocks, bpe, media
+from tenderloom.llm import blocks, bpe, media, near
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,9 +38,29 @@ def op10_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_bpe": op2_bpe,
+    "op8_near": op8_near,
     "op10_blocks": op10_blocks,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: Words of a text, A-Z lower-cased, as a list.
+_LOWER_WORDS = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"""
+
+OP8_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_LOWER_WORDS} AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) < 2 THEN ws ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END AS sh FROM w),
+u AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS s FROM s),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared, min(a.n) AS n, min(b.n) AS m FROM u a JOIN u b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM c WHERE 100 * shared >= 80 * (n + m - shared)),
+reach(x, y) AS (SELECT x, y FROM l UNION SELECT reach.x, l.y FROM reach JOIN l ON reach.y = l.x),
+least AS (SELECT x AS doc_id, min(y) AS y FROM reach GROUP BY 1)
+SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, least(s.doc_id, coalesce(y, s.doc_id)) AS component_id, s.doc_id = least(s.doc_id, coalesce(y, s.doc_id)) AS kept
+FROM s LEFT JOIN least ON s.doc_id = least.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op8_near": OP8_SQL}
