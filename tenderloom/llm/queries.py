@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderloom.llm import blocks, bpe, media, near
+from tenderloom.llm import blocks, bpe, media, near, repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op10_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.drop_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
@@ -45,6 +49,7 @@ def op8_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_bpe": op2_bpe,
+    "op3_repeats": op3_repeats,
     "op8_near": op8_near,
     "op10_blocks": op10_blocks,
 }
@@ -63,4 +68,17 @@ SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, least(s.doc_id, coalesce(y, s.do
 FROM s LEFT JOIN least ON s.doc_id = least.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_near": OP8_SQL}
+_WORDS = r"""list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"""
+
+OP3_SQL = f"""
+WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(ws) - 33)) AS i, ws FROM w WHERE len(ws) >= 35),
+h AS (SELECT doc_id, i, array_to_string(ws[i : i + 34], ' ') AS s FROM g),
+r AS (SELECT s FROM h GROUP BY s HAVING count(*) > 1),
+p AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM h SEMI JOIN r USING (s)),
+d AS (SELECT doc_id, list(p) AS gone FROM p GROUP BY doc_id),
+k AS (SELECT w.doc_id, ws, coalesce(gone, []) AS gone, list_filter(range(1, len(ws) + 1), lambda i: NOT list_contains(coalesce(gone, []), i)) AS left_over FROM w LEFT JOIN d USING (doc_id))
+SELECT doc_id, len(ws)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed, sha256(array_to_string(list_transform(left_over, lambda i: ws[i]), ' ')) AS kept_sha256 FROM k
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_repeats": OP3_SQL, "op8_near": OP8_SQL}
