@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderloom.llm import blocks, bpe, media, near, repeats
+from tenderloom.llm import blocks, bpe, language, media, near, quality, repeats
+from tenderloom.llm.common import residue
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +43,20 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.drop_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.where(residue("doc_id", 4) != 2))
+    found = language.identify(docs.select("doc_id", "text", F.coalesce(residue("doc_id", 4) == 2, F.lit(False)).alias("held_out")), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "entropy", "rejected")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.where(residue("doc_id", 3) != 1))
+    found = quality.score(docs.select("doc_id", "text", F.coalesce(residue("doc_id", 3) == 1, F.lit(False)).alias("held_out")), model)
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
@@ -50,6 +65,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_bpe": op2_bpe,
     "op3_repeats": op3_repeats,
+    "op7_language": op7_language,
+    "op9_quality": op9_quality,
     "op8_near": op8_near,
     "op10_blocks": op10_blocks,
 }
