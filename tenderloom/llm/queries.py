@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderloom.llm import blocks, bpe, language, media, near, quality, repeats
+from tenderloom.llm import blocks, bpe, language, leaks, media, near, quality, repeats
 from tenderloom.llm.common import residue
 
 
@@ -57,6 +57,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted")
 
 
+def op4_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_bpe": op2_bpe,
     "op3_repeats": op3_repeats,
+    "op4_leaks": op4_leaks,
     "op7_language": op7_language,
     "op9_quality": op9_quality,
     "op8_near": op8_near,
