@@ -157,7 +157,7 @@ class Chunk:
         return got[a - first * BLOCK : b - first * BLOCK]
 
 
-CHUNK_SCHEMA = "shard int, chunk int, doc_ids array<long>, n_ids long, body binary"
+CHUNK_SCHEMA = "shard int, chunk int, before long, doc_ids array<long>, n_ids long, body binary"
 
 
 def write(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None, text: str = "text") -> str:
@@ -173,10 +173,10 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None,
     path = path or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, names, lists, held, n = TaskContext.get().partitionId(), [], [], 0, 0
+        shard, names, lists, held, n, before = TaskContext.get().partitionId(), [], [], 0, 0, 0
 
         def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([n], pa.int32()), pa.array([names], pa.list_(pa.int64())), pa.array([held], pa.int64()), pa.array([pack_chunk(lists)], pa.binary())], ["shard", "chunk", "doc_ids", "n_ids", "body"])
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([n], pa.int32()), pa.array([before], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([held], pa.int64()), pa.array([pack_chunk(lists)], pa.binary())], ["shard", "chunk", "before", "doc_ids", "n_ids", "body"])
 
         for b in batches:
             offsets, data = text_buffers(b.column(1))
@@ -190,7 +190,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None,
                     held += len(lists[-1])
                     if held >= CHUNK_IDS:
                         yield row()
-                        names, lists, held, n = [], [], 0, n + 1
+                        names, lists, held, n, before = [], [], 0, n + 1, before + held
         if names:
             yield row()
 
@@ -204,12 +204,12 @@ def read(spark, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids (binary)
     of every document, from the chunks.
 
-    Only one total for each chunk goes to a window over shards; documents never do.
+    A chunk knows the ids before it in its shard; one total for each shard (as
+    many as the range shuffle has partitions) goes to a window and is broadcast.
     """
     chunks = spark.read.schema(T._parse_datatype_string(CHUNK_SCHEMA)).parquet(path)
-    shards = chunks.groupBy("shard").agg(F.sum("n_ids").alias("n")).select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = chunks.select("shard", "chunk", "n_ids").withColumn("inside", F.coalesce(F.sum("n_ids").over(Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    starts = inside.join(shards, "shard").select("shard", "chunk", (F.col("before") + F.col("inside")).alias("base"))
+    earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    shards = chunks.groupBy("shard").agg(F.sum("n_ids").alias("n")).select("shard", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("earlier"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -222,7 +222,8 @@ def read(spark, path: str) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids"],
                 )
 
-    return chunks.join(starts, ["shard", "chunk"]).select("base", "doc_ids", "body").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    placed = chunks.join(F.broadcast(shards), "shard").select((F.col("before") + F.col("earlier")).alias("base"), "doc_ids", "body")
+    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 class Words(Store):
