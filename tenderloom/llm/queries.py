@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderloom.llm import blocks, bpe, language, leaks, media, near, quality, repeats
+from tenderloom.llm import blocks, bpe, language, leaks, licenses, media, near, quality, repeats
 from tenderloom.llm.common import residue
 
 
@@ -43,6 +43,10 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.drop_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.train(docs.where(residue("doc_id", 4) != 2))
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_repeats": op3_repeats,
     "op4_leaks": op4_leaks,
+    "op6_licenses": op6_licenses,
     "op7_language": op7_language,
     "op9_quality": op9_quality,
     "op8_near": op8_near,
@@ -103,4 +108,21 @@ k AS (SELECT w.doc_id, ws, coalesce(gone, []) AS gone, list_filter(range(1, len(
 SELECT doc_id, len(ws)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed, sha256(array_to_string(list_transform(left_over, lambda i: ws[i]), ' ')) AS kept_sha256 FROM k
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_repeats": OP3_SQL, "op8_near": OP8_SQL}
+_PAIRS = "list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))"
+_NORMAL = f"string_split(trim(regexp_replace(translate({{}}, '{licenses.UPPER}', '{licenses.LOWER}'), '[^a-z0-9]+', ' ', 'g')), ' ')"
+_NOTICES = ", ".join(f"('{k}', '{v}')" for k, v in sorted(licenses.TEMPLATES.items()))
+
+OP6_SQL = f"""
+WITH t0 AS (SELECT license, {_NORMAL.format("body")} AS ws FROM (VALUES {_NOTICES}) v(license, body)),
+t AS (SELECT license, {_PAIRS} AS b FROM t0),
+g AS (SELECT DISTINCT doc_id, unnest(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '\\n[ \\t\\r]*\\n'), [text])) AS seg FROM documents),
+s0 AS (SELECT doc_id, seg, {_NORMAL.format("seg")} AS ws FROM g),
+s AS (SELECT doc_id, seg, {_PAIRS} AS b FROM s0 WHERE len(ws) > 1),
+x AS (SELECT doc_id, seg, len(b) AS n, unnest(b) AS p FROM s),
+y AS (SELECT license, len(b) AS m, unnest(b) AS p FROM t),
+c AS (SELECT doc_id, seg, license, 2.0 * count(*) / (n + m) AS dice FROM x JOIN y USING (p) GROUP BY doc_id, seg, license, n, m),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, seg ORDER BY dice DESC, license) AS k FROM c WHERE dice >= 0.8)
+SELECT doc_id, license, count(*) AS n_segments, round(max(dice), 6) AS dice FROM r WHERE k = 1 GROUP BY doc_id, license
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_licenses": OP6_SQL, "op3_repeats": OP3_SQL, "op8_near": OP8_SQL}
