@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderloom.llm import blocks, bpe, language, leaks, licenses, media, near, quality, repeats
+from tenderloom.llm import blocks, bpe, language, leaks, licenses, media, near, private, quality, repeats
 from tenderloom.llm.common import residue
 
 
@@ -65,6 +65,14 @@ def op4_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = private.find(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select("doc_id", *map(count, private.KINDS), F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+
+
 def op8_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
@@ -74,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_repeats": op3_repeats,
     "op4_leaks": op4_leaks,
+    "op5_private": op5_private,
     "op6_licenses": op6_licenses,
     "op7_language": op7_language,
     "op9_quality": op9_quality,
