@@ -37,6 +37,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers each (some 16 MB) that are broadcast at most.
+BROADCAST_ROWS = 1 << 20
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df (a written table of numbers), marked for broadcast if it has at most
+    `most` rows; beyond that, joins with it shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def residue(column: str, modulus: int):
     """crc32 of the decimal text of a column, modulo."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)

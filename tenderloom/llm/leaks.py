@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenderloom.llm.common import _BASE, _UNBASE, mix, powers, span_hashes, steps, text_buffers
+from tenderloom.llm.common import _BASE, _UNBASE, cut, mix, powers, small, span_hashes, steps, text_buffers
 
 WINDOW = 8
 SHARE = 0.5
@@ -190,5 +190,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without the documents that any item leaks into; a row without
     doc_id stays."""
-    hit = leaks(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    hit = cut(leaks(docs, benchmark, **options).select("doc_id").distinct(), "leaks")
+    return docs.join(small(hit), "doc_id", "left_anti").select(docs.columns)
