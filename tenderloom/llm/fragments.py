@@ -61,9 +61,39 @@ class Store:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.keys, self.entry = np.zeros(1 << 16, np.uint64), np.full(1 << 16, -1, np.int32)
         self.starts, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
 
+    def place(self, h: np.ndarray, entry: np.ndarray) -> None:
+        """Puts new hashes into the table (open addressing, at most half full)."""
+        if 2 * len(self.starts) + 2 * len(h) > len(self.keys):
+            old, held = self.keys[self.entry >= 0], self.entry[self.entry >= 0]
+            size = 1 << int(4 * (len(self.starts) + len(h))).bit_length()
+            self.keys, self.entry = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
+            h, entry = np.concatenate([old, h]), np.concatenate([held, entry.astype(np.int32)])
+        mask = len(self.keys) - 1
+        slot, left = (h & np.uint64(mask)).astype(np.int64), np.arange(len(h))
+        while len(left):
+            free = self.entry[slot[left]] < 0
+            tried = left[free]
+            self.keys[slot[tried]] = h[tried]  # of several for one slot the last stays
+            won = self.keys[slot[tried]] == h[tried]
+            self.entry[slot[tried[won]]] = entry[tried[won]]
+            left = np.concatenate([left[~free], tried[~won]])
+            slot[left] = (slot[left] + 1) & mask
+
+    def entries(self, h: np.ndarray) -> np.ndarray:
+        """The entry of each hash, or -1."""
+        mask = len(self.keys) - 1
+        slot = (h & np.uint64(mask)).astype(np.int64)
+        out = self.entry[slot]
+        left = np.flatnonzero((self.keys[slot] != h) & (out >= 0))
+        while len(left):
+            at = (slot[left] + 1) & mask
+            slot[left], out[left] = at, self.entry[at]
+            left = left[(self.keys[at] != h[left]) & (out[left] >= 0)]
+        return out
+
     def learn(self, fragments: list[bytes]) -> None:
         """Appends the ids of new fragments to the arrays. One piece of ASCII
         letters goes to the library's model as it is; others through the whole
@@ -81,25 +111,20 @@ class Store:
 
     def lookup(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The entry of each byte range; unknown ones are learned."""
-        if len(self.keys) > self.most:
+        if len(self.starts) > self.most:
             self.clear()
         h = span_hashes(data, starts, ends, False)
-        if not len(h):
-            return np.zeros(0, np.int64)
-        at = np.searchsorted(self.keys, h)
-        known = at < len(self.keys)
-        known[known] = self.keys[at[known]] == h[known]
-        if not known.all():
-            first = np.flatnonzero(~known)
+        found = self.entries(h)
+        first = np.flatnonzero(found < 0)
+        if len(first):
+            missing = first
             first = first[np.argsort(h[first], kind="stable")]
             first = first[np.concatenate([[True], np.diff(h[first]) != 0])]
-            new = h[first]
-            entry = len(self.starts) - 1 + np.arange(len(new))
+            entry = len(self.starts) - 1 + np.arange(len(first))
             self.learn([data[a:b].tobytes() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
-            place = np.searchsorted(self.keys, new)
-            self.keys, self.entry = np.insert(self.keys, place, new), np.insert(self.entry, place, entry)
-            at = np.searchsorted(self.keys, h)
-        return self.entry[at]
+            self.place(h[first], entry)
+            found[missing] = self.entries(h[missing])
+        return found
 
     def gather(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ids of the entries, one after another, and how many each has."""
