@@ -13,11 +13,13 @@ repeated windows are the leaves below internal nodes of depth WINDOW or more.
    the nodes of depth WINDOW are found by sorting. Where a group would be more
    than GROUP suffixes, the prefix is lengthened to the whole window; such a
    group is a single node, of which only the size counts: it is aggregated
-   before the shuffle, and its windows come back by a join that Spark splits.
+   before the shuffle. The repeated nodes are broadcast to the texts if they are
+   few; else lists of them are joined to the suffixes, which Spark splits.
 3. The repeated windows of a document are gathered and its covered words go.
 
 Two windows are held equal if a 64-bit hash of the whole and one of the anchor
-are. The text is shuffled once, by document; the plan uses that exchange again.
+are. The text is shuffled once, compressed, by document; the plan uses that
+exchange again.
 Documents are told apart by doc_id and a hash of the text, so a repeated doc_id
 does no harm.
 """
@@ -29,15 +31,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenderloom.llm.common import hashed_words, mix, powers, steps, text_buffers
+from tenderloom.llm.common import cut, hashed_words, mix, powers, steps, text_buffers
 
 WINDOW = 35
 ANCHOR = 18
 #: Suffixes at one anchor that are compared in one task at most.
 GROUP = 2000
+#: Repeated windows at hot anchors that are broadcast at most, 8 bytes each.
+BROADCAST_ROWS = 1 << 20
 _BASE = 0x2545F4914F6CDD1D
 _UNBASE = pow(_BASE, -1, 1 << 64)
 
@@ -98,40 +104,51 @@ def _anchors(keyed: DataFrame, window: int, anchor: int) -> DataFrame:
     return keyed.mapInArrow(run, "m long, did long, th int")
 
 
-def _suffixes(marked: DataFrame, window: int, anchor: int, long_prefix: bool) -> DataFrame:
-    """Windows at repeated anchors: for short prefixes a row for each anchor
-    (m, did, th, start of its first window, hashes of its windows in order), for
-    long ones a row for each window (m, h, did, th, start)."""
+def _texts(packed: pa.Array) -> pa.Array:
+    """The texts of compressed ones."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    return pa.array([unpack(x) if x is not None else None for x in packed.to_pylist()], pa.binary())
+
+
+def _pack(keyed: DataFrame) -> DataFrame:
+    """keyed with its texts compressed, for the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
-            offsets, data = text_buffers(b.column(2))
+            texts = b.column(2).cast(pa.large_string()).cast(pa.large_binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pack(x) if x is not None else None for x in texts], pa.binary()), b.column(3)], ["did", "th", "packed", "doc_id"])
+
+    return keyed.select("did", "th", "text", F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, "did long, th int, packed binary, doc_id long")
+
+
+def _suffixes(marked: DataFrame, window: int, anchor: int, wanted: str) -> DataFrame:
+    """m, did, th, start and hashes for each anchor of a document in its list
+    `wanted`: the start of its first window and the hashes of its windows in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            offsets, data = text_buffers(_texts(b.column(2)))
             did, th = b.column(0).to_numpy(), b.column(1).to_numpy()
             for i, j in steps(offsets):
-                wanted = np.unique(b.column(3).slice(i, j - i).flatten().to_numpy()).view(np.uint64)
+                names = np.unique(b.column(3).slice(i, j - i).flatten().to_numpy()).view(np.uint64)
                 doc, start, h, m, place = windows(offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]], window, anchor)
-                keep = np.isin(m, wanted)
+                keep = np.isin(m, names)
                 doc, start, h, m, place = doc[keep], start[keep], h[keep], m[keep], place[keep]
-                if long_prefix:
-                    yield pa.RecordBatch.from_arrays([_long(m), _long(h), _long(did[i + doc]), pa.array(th[i + doc], pa.int32()), pa.array(start, pa.int32())], ["m", "h", "did", "th", "start"])
-                    continue
                 new = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(doc) else np.zeros(0, np.int64)
-                ends = (np.append(new, len(doc)) * 8).astype(np.int32)
-                packed = pa.BinaryArray.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(h.tobytes())])
-                yield pa.RecordBatch.from_arrays([_long(m[new]), _long(did[i + doc[new]]), pa.array(th[i + doc[new]], pa.int32()), pa.array(start[new], pa.int32()), packed], ["m", "did", "th", "start", "hashes"])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(doc)).astype(np.int32)), _long(h))
+                yield pa.RecordBatch.from_arrays([_long(m[new]), _long(did[i + doc[new]]), pa.array(th[i + doc[new]], pa.int32()), pa.array(start[new], pa.int32()), lists], ["m", "did", "th", "start", "hashes"])
 
-    rows = marked.select("did", "th", "text", F.col("hot" if long_prefix else "cold").alias("wanted")).where(F.size("wanted") > 0)
-    return rows.mapInArrow(run, "m long, h long, did long, th int, start int" if long_prefix else "m long, did long, th int, start int, hashes binary")
+    rows = marked.select("did", "th", "packed", F.col(wanted).alias("wanted")).where(F.size("wanted") > 0)
+    return rows.mapInArrow(run, "m long, did long, th int, start int, hashes array<long>")
 
 
 def _repeated_in_groups(suffixes: DataFrame) -> DataFrame:
     """did, th, starts of the windows that stand twice in their anchor's group."""
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
-        m, packed = b.column(0).to_numpy(), b.column(4)
-        ends = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1].astype(np.int64)
-        h = np.frombuffer(packed.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.uint64) if len(packed) else np.zeros(0, np.uint64)
-        n = np.diff(ends) // 8
+        m, h = b.column(0).to_numpy(), b.column(4).flatten().to_numpy()
+        n = pc.list_value_length(b.column(4)).to_numpy().astype(np.int64)
         row = np.repeat(np.arange(len(n)), n)
         group = np.concatenate([[0], np.cumsum(m[1:] != m[:-1])]) if len(m) else np.zeros(0, np.int64)
         order = np.lexsort((h, group[row]))
@@ -164,21 +181,66 @@ def _repeated_in_groups(suffixes: DataFrame) -> DataFrame:
     return suffixes.repartition(n, "m").sortWithinPartitions("m").mapInArrow(run, "did long, th int, starts array<int>")
 
 
+def _hot_windows(marked: DataFrame, window: int, anchor: int) -> DataFrame | None:
+    """did, th, starts of the repeated windows at hot anchors; None without any.
+
+    Of a prefix that is a whole window only the count is taken, aggregated before
+    the shuffle. Up to BROADCAST_ROWS repeated ones (8 bytes each) go to the tasks
+    that hold the texts; more are joined."""
+    suffixes = _suffixes(marked, window, anchor, "hot")
+    nodes = suffixes.select("m", F.explode("hashes").alias("h")).groupBy("m", "h").count().where("count > 1").select("m", "h")
+    nodes = cut(nodes, "repeat-nodes")
+    n = nodes.limit(BROADCAST_ROWS + 1).count()
+    if n > BROADCAST_ROWS:
+        return _joined_windows(suffixes, nodes)
+    if not n:
+        return None
+    told = marked.sparkSession.sparkContext.broadcast(np.sort(nodes.select("h").toPandas()["h"].to_numpy().view(np.uint64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            offsets, data = text_buffers(_texts(b.column(2)))
+            for i, j in steps(offsets):
+                doc, start, h, _, _ = windows(offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]], window, anchor)
+                keep = told.value[np.minimum(np.searchsorted(told.value, h), len(told.value) - 1)] == h
+                ends = np.searchsorted(doc[keep], np.arange(j - i + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), pa.array(start[keep].astype(np.int32)))], ["did", "th", "starts"])
+
+    return marked.where(F.size("hot") > 0).select("did", "th", "packed").mapInArrow(run, "did long, th int, starts array<int>")
+
+
+def _joined_windows(suffixes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The repeated windows of an anchor form lists of some GROUP by remainder,
+    and each suffix meets the lists that its own windows fall in."""
+    lists = nodes.groupBy("m").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
+    known = nodes.join(lists, "m").groupBy("m", F.pmod("h", "parts").alias("part")).agg(F.collect_list("h").alias("known"))
+    parts = F.array_distinct(F.transform("hashes", lambda h: F.pmod(h, "parts")))
+    there = suffixes.join(lists, "m").select("m", F.explode(parts).alias("part"), "did", "th", "start", "hashes")
+    met = there.join(known, ["m", "part"]).select("did", "th", "start", "hashes", "known")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [start + np.flatnonzero(np.isin(h.values.to_numpy(), known.values.to_numpy())) for start, h, known in zip(b.column(2).to_pylist(), b.column(3), b.column(4), strict=True)]
+            ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
+            whole = np.concatenate(out).astype(np.int32) if out else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(whole))], ["did", "th", "starts"])
+
+    return met.mapInArrow(run, "did long, th int, starts array<int>")
+
+
 def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """docs keyed (did, th, text, doc_id), and did, th, starts: the first words
+    """docs keyed (did, th, packed, doc_id), and did, th, starts: the first words
     of the repeated windows, at least once each."""
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")).alias("did"), F.hash(text).alias("th"), F.col(text).alias("text"), "doc_id")
-    texts = keyed.select("did", "th", "text")
-    anchors = _anchors(texts, window, anchor)
+    packed = _pack(keyed)
+    anchors = _anchors(keyed.select("did", "th", "text"), window, anchor)
     counted = anchors.groupBy("m").count().where("count > 1").select("m", (F.col("count") > GROUP).alias("is_hot"))
     found = anchors.join(counted, "m").groupBy("did", "th")
     found = found.agg(F.collect_set(F.when(~F.col("is_hot"), F.col("m"))).alias("cold"), F.collect_set(F.when(F.col("is_hot"), F.col("m"))).alias("hot"))
-    marked = keyed.join(found, ["did", "th"])
-    cold = _repeated_in_groups(_suffixes(marked, window, anchor, False))
-    suffixes = _suffixes(marked, window, anchor, True)
-    nodes = suffixes.groupBy("m", "h").count().where("count > 1").select("m", "h")
-    hot = suffixes.join(nodes, ["m", "h"]).select("did", "th", F.array("start").alias("starts"))
-    return keyed, cold.union(hot)
+    marked = packed.join(found, ["did", "th"])
+    cold = _repeated_in_groups(_suffixes(marked, window, anchor, "cold"))
+    hot = _hot_windows(marked, window, anchor)
+    return packed, cold if hot is None else cold.union(hot)
 
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, text: str = "text") -> DataFrame:
@@ -190,13 +252,13 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, te
     like any other. Repeated rows are each other's copies. Other columns are not
     looked at; an empty table gives an empty result.
     """
-    keyed, found = repeated_windows(docs, window, anchor, text)
+    packed, found = repeated_windows(docs, window, anchor, text)
     gathered = found.groupBy("did", "th").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             total, removed, kept = [], [], []
-            for raw, starts in zip(b.column(1).cast(pa.large_string()).cast(pa.large_binary()).to_pylist(), b.column(2), strict=True):
+            for raw, starts in zip(_texts(b.column(1)).to_pylist(), b.column(2), strict=True):
                 own = (raw or b"").split()
                 total.append(len(own))
                 if starts.is_valid:
@@ -213,5 +275,5 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, te
                 ["doc_id", "n_words", "n_removed", "kept", "kept_sha256"],
             )
 
-    rows = keyed.join(gathered, ["did", "th"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "starts")
+    rows = packed.join(gathered, ["did", "th"], "left").select("doc_id", "packed", "starts")
     return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")

@@ -27,8 +27,9 @@ def brute_repeats(texts, window):
 
 def test_repeats_equal_brute_force(spark, monkeypatch):
     want = Counter(zip([i for i, _ in rows()], brute_repeats([t for _, t in rows()], 35), strict=True))
-    for group in (2000, 1):  # short prefixes, then long ones only
+    for group, most in ((2000, 1 << 20), (1, 1 << 20), (1, 0)):  # short prefixes, then long ones only: broadcast, joined
         monkeypatch.setattr(repeats, "GROUP", group)
+        monkeypatch.setattr(repeats, "BROADCAST_ROWS", most)
         got = repeats.drop_repeats(documents(spark)).collect()
         assert Counter((r.doc_id, (r.n_words, r.n_removed, r.kept_sha256)) for r in got) == want
     assert repeats.drop_repeats(no_documents(spark)).count() == 0
