@@ -236,7 +236,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     anchors = _anchors(keyed.select("did", "th", "text"), window, anchor)
     counted = anchors.groupBy("m").count().where("count > 1").select("m", (F.col("count") > GROUP).alias("is_hot"))
     found = anchors.join(counted, "m").groupBy("did", "th")
-    found = found.agg(F.collect_set(F.when(~F.col("is_hot"), F.col("m"))).alias("cold"), F.collect_set(F.when(F.col("is_hot"), F.col("m"))).alias("hot"))
+    found = cut(found.agg(F.collect_set(F.when(~F.col("is_hot"), F.col("m"))).alias("cold"), F.collect_set(F.when(F.col("is_hot"), F.col("m"))).alias("hot")), "repeat-anchors")
     marked = packed.join(found, ["did", "th"])
     cold = _repeated_in_groups(_suffixes(marked, window, anchor, "cold"))
     hot = _hot_windows(marked, window, anchor)
