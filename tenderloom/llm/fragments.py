@@ -4,7 +4,7 @@ The bytes of many texts are cut at once; a fragment is known by a 64-bit hash
 of its bytes; the ids of every distinct fragment are taken from the tokenizers
 library once and kept in flat arrays; a text's ids are gathered from there.
 At MOST kept fragments two of them share a hash with a probability of about
-1e-7; the store then starts anew.
+1e-8; the store then starts anew.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import numpy as np
 from tenderloom.llm.common import span_hashes
 
 #: Distinct fragments that a worker keeps at most.
-MOST = 1 << 20
+MOST = 1 << 19
 WHITE = np.array([9, 10, 11, 12, 13, 32])
 
 

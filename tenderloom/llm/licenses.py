@@ -5,13 +5,18 @@ The segments of a text are its lines, its paragraphs (between blank lines) and
 the whole. Normalising lower-cases A-Z and turns every run of other characters
 than a-z and 0-9 into one space. A segment with n distinct bigrams can reach a
 coefficient t with a template of m only if m * t / (2 - t) <= n <= m * (2 - t) / t;
-these bounds prune the templates. Segments whose bigrams meet no template within
+these bounds prune the templates. By the same bound a match lacks few of its
+template's bigrams, so it holds one of a few words; texts and segments without
+any of them are passed over before they are normalised. Segments whose bigrams meet no template within
 the bounds vanish in a broadcast join (the templates are this module's list or
 the caller's, of bounded size); what is left is counted.
 """
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +49,29 @@ def bigrams(text: Column) -> Column:
     return F.array_distinct(pairs)
 
 
+def needles(given: dict[str, str], t: float) -> list[str]:
+    """Words of which every match holds at least one. A match shares at least
+    m * t / (2 - t) bigrams with its template, so it cannot lack more than the
+    rest; words that stand in more than so many bigrams are taken, long ones first."""
+    out: set[str] = set()
+    for body in given.values():
+        words = re.sub("[^a-z0-9]+", " ", body.translate(str.maketrans(UPPER, LOWER))).split()
+        left = set(zip(words, words[1:], strict=False))
+        spare, covered = int(len(left) - len(left) * t / (2 - t) + 1e-9), 0
+        for w in sorted(set(words), key=lambda w: (w not in out, -len(w), w)):
+            if not left or covered > spare:
+                break
+            hit = {p for p in left if w in p}
+            out |= {w} if hit else set()
+            left, covered = left - hit, covered + len(hit)
+    return sorted(out)
+
+
+def holds_any(text: Column, words: list[str]) -> Column:
+    """Whether the lower-case text, made once, contains any of the words."""
+    return F.exists(F.array(F.lower(text)), lambda low: reduce(Column.__or__, [F.contains(low, F.lit(w)) for w in words], F.lit(False)))
+
+
 def templates(spark: SparkSession, given: dict[str, str]) -> DataFrame:
     """license, m (distinct bigrams), bigram."""
     rows = F.array(*[F.struct(F.lit(k).alias("license"), F.lit(v).alias("body")) for k, v in sorted(given.items())])
@@ -64,7 +92,9 @@ def scan(docs: DataFrame, given: dict[str, str] | None = None, dice: float = DIC
     t = float(dice)
     body = F.coalesce(F.col(text), F.lit(""))
     parts = F.array_distinct(F.concat(F.split(body, "\n"), F.split(body, "\n[ \t\r]*\n"), F.array(body)))
-    segments = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.explode(parts).alias("segment"))
+    words = needles(given, t)
+    likely = docs.where(F.col("doc_id").isNotNull() & holds_any(body, words))
+    segments = likely.select("doc_id", F.explode(parts).alias("segment")).where(holds_any(F.col("segment"), words))
     sized = segments.select("doc_id", F.xxhash64("segment").alias("segment"), bigrams(F.col("segment")).alias("b")).withColumn("n", F.size("b"))
     known = templates(docs.sparkSession, given)
     rows = sized.select("doc_id", "segment", "n", F.explode("b").alias("bigram"))
