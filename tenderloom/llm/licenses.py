@@ -15,6 +15,7 @@ the caller's, of bounded size); what is left is counted.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,19 +53,21 @@ def bigrams(text: Column) -> Column:
 def needles(given: dict[str, str], t: float) -> list[str]:
     """Words of which every match holds at least one. A match shares at least
     m * t / (2 - t) bigrams with its template, so it cannot lack more than the
-    rest; words that stand in more than so many bigrams are taken, long ones first."""
+    rest; words that stand in more than so many bigrams are taken, first the long
+    ones that templates share. One that contains another is no longer needed."""
     out: set[str] = set()
-    for body in given.values():
-        words = re.sub("[^a-z0-9]+", " ", body.translate(str.maketrans(UPPER, LOWER))).split()
+    bodies = [re.sub("[^a-z0-9]+", " ", body.translate(str.maketrans(UPPER, LOWER))).split() for body in given.values()]
+    shared = Counter(w for words in bodies for w in set(words))
+    for words in bodies:
         left = set(zip(words, words[1:], strict=False))
         spare, covered = int(len(left) - len(left) * t / (2 - t) + 1e-9), 0
-        for w in sorted(set(words), key=lambda w: (w not in out, -len(w), w)):
+        for w in sorted(set(words), key=lambda w: (w not in out, len(w) < 6, -shared[w], -len(w), w)):
             if not left or covered > spare:
                 break
             hit = {p for p in left if w in p}
             out |= {w} if hit else set()
             left, covered = left - hit, covered + len(hit)
-    return sorted(out)
+    return sorted(w for w in out if not any(v != w and v in w for v in out))
 
 
 def holds_any(text: Column, words: list[str]) -> Column:
