@@ -101,7 +101,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: in
     rows = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(y, x.values.to_numpy()) for b in batches for y, x in zip(b.column(1).to_pylist(), b.column(2), strict=True)]
+        rows = [(o, y, x.values.to_numpy()) for b in batches for o, y, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True)]
+        held = [(y, x) for _, y, x in sorted(rows, key=lambda r: (r[0], r[1], r[2].tobytes()))]
         model = Ftrl(bits)
         for _ in range(epochs):
             for y, slots in held:
@@ -113,7 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: in
         slope, bias = calibrate(margins, np.array([y for y, _ in held], float))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(slots[keep], -1), pa.int32()), pa.array(np.append(slope * w[keep], slope * model.bias + bias), pa.float64())], ["slot", "w"])
 
-    found = _features_of(rows, bits).repartitionByRange(1, "ord").sortWithinPartitions("ord", "label", "slots").mapInArrow(fit, "slot int, w double").toPandas()
+    found = _features_of(rows, bits).repartition(1).mapInArrow(fit, "slot int, w double").toPandas()
     w = np.zeros(1 << bits)
     slots, values = found["slot"].to_numpy(), found["w"].to_numpy()
     w[slots[slots >= 0]] = values[slots >= 0]
