@@ -4,7 +4,10 @@ Text is canonicalised to tokens: runs of letters, digits and other non-ASCII
 bytes. A token that begins with a digit is a number, a known unit right after a
 number is a unit, a capitalised word inside a sentence is a name; each of these
 is its typed placeholder in the template, and its own (lower-case) hash is the
-slot's value. Everything else is its lower-case hash.
+slot's value. Everything else is its lower-case hash. A capitalised word that
+opens a sentence may be a name or not: windows over it are made both ways, on
+both sides. A text has two forms, which meet only their like: in the first each
+word is a token, in the second a run of capitalised words is one name.
 
 Windows of WINDOW template tokens (and of shorter lengths for items that are
 shorter) are hashed and joined with those of the benchmark. A window of nothing
@@ -12,7 +15,8 @@ but placeholders is no evidence and is left out. For each document and item the
 slots of the matching windows must be consistent: one value of the item stands
 for one value of the document throughout. Windows whose slots are not take no
 part. An item counts as leaked if the windows that match cover at least SHARE
-of its windows; slots that all have the item's own values make it `exact`,
+of its windows in one of the forms. An item shorter than a window whose opener
+is a slot must keep its values or have LITERALS words besides the slots. Slots that all have the item's own values make it `exact`,
 other values `re-parameterised`.
 """
 
@@ -29,6 +33,7 @@ from tenderloom.llm.common import _BASE, _UNBASE, cut, mix, powers, small, span_
 
 WINDOW = 8
 SHARE = 0.5
+LITERALS = 3
 #: Benchmark windows up to this number are broadcast (8 bytes each to the Python side); more are joined by shuffle.
 BROADCAST_WINDOWS = 1 << 19
 UNITS = "mm cm m km in ft mi mg g kg t lb oz ml l s ms min h hr hrs hour hours day days week weeks month months year years minute minutes second seconds meter meters metre metres kilometer kilometers gram grams liter liters litre litres percent dollar dollars euro euros cent cents usd eur gbp mph kmh kph".split()
@@ -52,9 +57,10 @@ def _hash_words(texts: list[str]) -> np.ndarray:
 _UNIT_HASHES = np.sort(_hash_words(UNITS))
 
 
-def tokens(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Template token, slot value (0: no slot) of every token, and each text's
-    first token (n + 1 entries)."""
+def tokens(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Template token, slot value (0: no slot) and own value of every token, each
+    text's first token (n + 1 entries), whether a token is capitalised and
+    whether it begins a sentence."""
     inner = _TOKEN[data]
     # a point or comma between digits belongs to the number
     if len(data) > 2:
@@ -73,7 +79,7 @@ def tokens(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarra
     template = value.copy()
     slot = np.zeros(len(value), np.uint64)
     if not len(value):
-        return template, slot, first
+        return template, slot, value, first, np.zeros(0, bool), np.zeros(0, bool)
     number = _DIGIT[data[starts]]
     same_text = np.ones(len(starts), bool)
     same_text[first[:-1][np.diff(first) > 0]] = False
@@ -92,26 +98,53 @@ def tokens(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarra
     for kind, which in ((NUMBER, number), (UNIT, unit), (NAME, name)):
         template[which] = kind
         slot[which] = value[which] | np.uint64(1)
-    return template, slot, first
+    return template, slot, value, first, capital, begins
 
 
-def _windows(template: np.ndarray, slot: np.ndarray, first: np.ndarray, size: int):
+def _joined(template: np.ndarray, slot: np.ndarray, value: np.ndarray, first: np.ndarray, capital: np.ndarray, begins: np.ndarray):
+    """Template, slots, first tokens and openers where a run of capitalised words
+    of a sentence is one name, its opener too."""
+    inside = np.zeros(len(value), bool)
+    inside[1:] = capital[1:] & capital[:-1] & ~begins[1:]
+    kept = np.flatnonzero(~inside)
+    count = np.concatenate([[0], np.cumsum(~inside)])
+    nth = (np.arange(len(value)) - kept[count[1:] - 1]).astype(np.uint64)
+    run = np.add.reduceat(mix(value + nth * np.uint64(_BASE)), kept) if len(kept) else value
+    lead = capital[kept]
+    return np.where(lead, NAME, template[kept]), np.where(lead, run | np.uint64(1), slot[kept]), count[first], lead & begins[kept]
+
+
+def _forms(offsets: np.ndarray, data: np.ndarray):
+    """Form, template, slots, first tokens and openers that are slots of each way
+    to read the texts; and whether only windows with such an opener are wanted."""
+    template, slot, value, first, capital, begins = tokens(offsets, data)
+    opener = capital & begins
+    yield 0, template, slot, first, np.zeros(len(value), bool), False
+    yield 0, np.where(opener, NAME, template), np.where(opener, value | np.uint64(1), slot), first, opener, True
+    yield 1, *_joined(template, slot, value, first, capital, begins), False
+
+
+def _windows(template: np.ndarray, slot: np.ndarray, first: np.ndarray, size: int, form: int, opener: np.ndarray, opened_only: bool):
     """Number of the first token and hash of each window within one text that
-    has a literal token."""
+    has a literal token, and whether an opener in it is a slot."""
     n = len(template) - size + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
     total = np.zeros(len(template) + 1, np.uint64)
     np.cumsum(template * powers(_BASE, len(template)), out=total[1:])
-    h = mix((total[size:] - total[:n]) * powers(_UNBASE, n) + np.uint64(size))
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     literal = np.concatenate([[0], np.cumsum(slot == 0)])
-    at = np.flatnonzero((doc[:n] == doc[size - 1 :]) & (literal[size:] - literal[:n] > 0))
-    return at, h[at]
+    openers = np.concatenate([[0], np.cumsum(opener)])
+    opened = openers[size:] > openers[:n]
+    ok = (doc[:n] == doc[size - 1 :]) & (literal[size:] - literal[:n] > 0)
+    at = np.flatnonzero(ok & opened if opened_only else ok)
+    h = mix((total[at + size] - total[at]) * powers(_UNBASE, n)[at] + np.uint64(size + (form << 32)))
+    return at, h, opened[at]
 
 
 def template_windows(df: DataFrame, key: str, text: str, sizes: list[int], only: np.ndarray | None = None, whole_only: bool = False) -> DataFrame:
-    """key, pos, hash, size, slots (values of the window's tokens, 0: literal).
+    """key, form, pos, hash, size, slots (values of the window's tokens, 0:
+    literal), opened (a sentence's opener is one of the slots).
 
     only: hashes to keep, sorted. whole_only: sizes below the largest are made
     only for texts of exactly that many tokens, as for benchmark items."""
@@ -122,32 +155,35 @@ def template_windows(df: DataFrame, key: str, text: str, sizes: list[int], only:
             offsets, data = text_buffers(b.column(1))
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for i, j in steps(offsets):
-                template, slot, first = tokens(offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]])
-                for size in sizes:
-                    at, h = _windows(template, slot, first, size)
-                    if told is not None:
-                        keep = np.searchsorted(told.value, h)
-                        keep = told.value[np.minimum(keep, len(told.value) - 1)] == h if len(told.value) else np.zeros(len(h), bool)
-                        at, h = at[keep], h[keep]
-                    doc = np.searchsorted(first, at, "right") - 1
-                    if whole_only and size < max(sizes):
-                        keep = np.diff(first)[doc] == size
-                        at, h, doc = at[keep], h[keep], doc[keep]
-                    values = slot[at[:, None] + np.arange(size)].view(np.int64)
-                    lists = pa.ListArray.from_arrays(pa.array((np.arange(len(at) + 1) * size).astype(np.int32)), pa.array(values.ravel()))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[i + doc], pa.int64()), pa.array(at - first[doc], pa.int32()), pa.array(h.view(np.int64)), pa.array(np.full(len(at), size), pa.int32()), lists], ["key", "pos", "hash", "size", "slots"]
-                    )
+                for form, template, slot, first, opener, opened_only in _forms(offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]]):
+                    for size in sizes:
+                        at, h, opened = _windows(template, slot, first, size, form, opener, opened_only)
+                        if told is not None:
+                            keep = np.searchsorted(told.value, h)
+                            keep = told.value[np.minimum(keep, len(told.value) - 1)] == h if len(told.value) else np.zeros(len(h), bool)
+                            at, h, opened = at[keep], h[keep], opened[keep]
+                        doc = np.searchsorted(first, at, "right") - 1
+                        if whole_only and size < max(sizes):
+                            keep = np.diff(first)[doc] == size
+                            at, h, opened, doc = at[keep], h[keep], opened[keep], doc[keep]
+                        values = slot[at[:, None] + np.arange(size)].view(np.int64)
+                        lists = pa.ListArray.from_arrays(pa.array((np.arange(len(at) + 1) * size).astype(np.int32)), pa.array(values.ravel()))
+                        whole = lambda x, n=len(at): pa.array(np.full(n, x), pa.int32())
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(ids[i + doc], pa.int64()), whole(form), pa.array(at - first[doc], pa.int32()), pa.array(h.view(np.int64)), whole(size), lists, pa.array(opened)], ["key", "form", "pos", "hash", "size", "slots", "opened"]
+                        )
 
     rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "key long, pos int, hash long, size int, slots array<long>")
+    return rows.mapInArrow(run, "key long, form int, pos int, hash long, size int, slots array<long>, opened boolean")
 
 
 def _lengths(df: DataFrame, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             offsets, data = text_buffers(b.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(np.diff(tokens(offsets, data)[2]), pa.int64())], ["n"])
+            for _, _, _, first, _, opened_only in _forms(offsets, data):
+                if not opened_only:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.diff(first), pa.int64())], ["n"])
 
     return df.select(F.col(text).alias("text")).mapInArrow(run, "n long")
 
@@ -158,33 +194,39 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
 
     docs (doc_id, text), benchmark (item_id, text). A row with a null id or text
     has no part; an item without a literal token has no windows and never
-    leaks; repeated rows with one id count once. Items shorter than the window
+    leaks; repeated rows with one id count once. The form with the better
+    coverage is told. Items shorter than the window
     are one window of their own length. Empty tables give an empty result.
     """
     lengths = [r.n for r in _lengths(benchmark.where(F.col(text).isNotNull()), text).where(F.col("n") < window).distinct().collect()]
     sizes = sorted({int(n) for n in lengths if n > 0} | {window})
     item = template_windows(benchmark, "item_id", text, sizes, whole_only=True)
-    item = item.select(F.col("key").alias("item_id"), F.col("pos").alias("item_pos"), "hash", "size", F.col("slots").alias("item_slots")).distinct()
+    item = item.select(F.col("key").alias("item_id"), "form", F.col("pos").alias("item_pos"), "hash", "size", F.col("slots").alias("item_slots"), F.col("opened").alias("item_opened")).distinct()
     hashes = item.select("hash").distinct()
     small = hashes.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     only = np.sort(np.array([r.hash for r in hashes.collect()], np.int64).view(np.uint64)) if small else None
-    found = template_windows(docs, "doc_id", text, sizes, only).withColumnRenamed("key", "doc_id")
-    pairs = found.join(F.broadcast(item) if small else item, ["hash", "size"])
+    found = template_windows(docs, "doc_id", text, sizes, only).withColumnRenamed("key", "doc_id").drop("opened")
+    pairs = found.join(F.broadcast(item) if small else item, ["hash", "size", "form"])
     both = F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     pairs = pairs.withColumn("slot", F.array_distinct(F.filter(both, lambda s: s["a"] != 0)))
+    same = F.forall("slot", lambda s: s["a"] == s["b"])
+    told = F.size(F.filter("item_slots", lambda s: s == 0)) >= LITERALS
+    pairs = pairs.where(~F.col("item_opened") | (F.col("size") >= window) | told | same)
     # One occurrence of an item in a document is a diagonal; most keep one, copies have more.
-    pairs = pairs.withColumn("diagonal", F.col("pos") - F.col("item_pos")).drop("slots", "item_slots", "hash", "size")
-    place = ["doc_id", "item_id", "diagonal"]
+    pairs = pairs.withColumn("diagonal", F.col("pos") - F.col("item_pos")).select("doc_id", "item_id", "form", "diagonal", "item_pos", "slot")
+    pairs = cut(pairs, "leak-windows")
+    place = ["doc_id", "item_id", "form", "diagonal"]
     values = pairs.select(*place, F.explode("slot").alias("s")).select(*place, "s.a", "s.b").groupBy(*place, "a", "b").count()
     best = values.groupBy(*place, "a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
     chosen = best.groupBy(*place).agg(F.map_from_entries(F.collect_list(F.struct("a", "b"))).alias("value"))
     agreed = pairs.join(chosen, place, "left").where(F.forall("slot", lambda s: s["b"] == F.col("value")[s["a"]]))
-    per_item = item.groupBy("item_id").agg(F.countDistinct("item_pos").alias("n_windows"))
-    same = F.forall("slot", lambda s: s["a"] == s["b"])
-    scored = agreed.groupBy("doc_id", "item_id").agg(F.countDistinct("item_pos").alias("n_matched"), F.min(same.cast("int")).alias("same"))
-    scored = scored.join(F.broadcast(per_item) if small else per_item, "item_id").withColumn("coverage", F.col("n_matched") / F.col("n_windows"))
-    kind = F.when(F.col("same") == 1, "exact").otherwise("re-parameterised")
-    return scored.where(F.col("coverage") >= share).select("doc_id", "item_id", "n_windows", "n_matched", "coverage", kind.alias("kind"))
+    per_item = item.groupBy("item_id", "form").agg(F.countDistinct("item_pos").alias("n_windows"))
+    scored = agreed.groupBy("doc_id", "item_id", "form").agg(F.countDistinct("item_pos").alias("n_matched"), F.min(same.cast("int")).alias("same"))
+    scored = scored.join(F.broadcast(per_item) if small else per_item, ["item_id", "form"]).withColumn("coverage", F.col("n_matched") / F.col("n_windows"))
+    better = F.max(F.struct("coverage", "same", (-F.col("form")).alias("form"), "n_windows", "n_matched")).alias("best")
+    best = scored.where(F.col("coverage") >= share).groupBy("doc_id", "item_id").agg(better)
+    kind = F.when(F.col("best.same") == 1, "exact").otherwise("re-parameterised")
+    return best.select("doc_id", "item_id", "best.n_windows", "best.n_matched", "best.coverage", kind.alias("kind"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

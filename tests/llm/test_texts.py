@@ -95,6 +95,30 @@ def test_leaks(spark):
     assert leaks.leaks(docs.limit(0), bench).count() == 0 and leaks.leaks(docs, bench.limit(0)).count() == 0
 
 
+
+def test_leaks_of_names_at_sentence_starts(spark):
+    item = "Alice has 12 apples. Bob gives Alice 5 more apples. Alice then eats 3 of them. How many apples does Alice have now?"
+    named = lambda a, b: item.replace("12", "17").replace("5", "8").replace("3", "4").replace("Alice", a).replace("Bob", b)
+    items = [(1, item), (2, "Alice has 3 pears in town"), (3, "Who wrote Hamlet"), (4, named("Mary Ann", "Van Helsing").replace("apples", "plums"))]
+    texts = [
+        (1, f"{prose(1, 30)}. {named('Carol', 'Dave')} {prose(2, 30)}"),
+        (2, f"{prose(3, 30)}. {named('Mary Ann Smith', 'Van Dyke')} {prose(4, 30)}"),
+        (3, f"{prose(5, 30)} {item} {prose(6, 30)}"),
+        (4, "they said Alice has 3 pears in town and left"),
+        (5, "they say. Carol has 8 pears in town. They left"),
+        (6, "he asked Who wrote Hamlet and left"),
+        (7, "one day. Bob wrote Poems and left"),
+        (8, named("Carol", "Dave").replace("Carol then", "Erin then").replace("does Carol", "does Frank").replace("gives Carol", "gives Gina")),
+        (9, named("Zoe", "Tom").replace("apples", "plums")),
+    ]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.kind, r.coverage) for r in leaks.leaks(docs, bench).collect()}
+    new, exact = ("re-parameterised", 1.0), ("exact", 1.0)
+    whole = {k: v for k, v in got.items() if v[1] == 1}
+    assert whole == {(1, 1): new, (2, 1): new, (3, 1): exact, (4, 2): exact, (5, 2): new, (6, 3): exact, (9, 4): new}
+    assert not any(d in (7, 8) for d, _ in got)
+
+
 BASE = [re.compile(x) for x in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 
