@@ -10,6 +10,12 @@ template's bigrams, so it holds one of a few words; texts and segments without
 any of them are passed over before they are normalised. Segments whose bigrams meet no template within
 the bounds vanish in a broadcast join (the templates are this module's list or
 the caller's, of bounded size); what is left is counted.
+
+A notice inside a longer line, or wrapped over lines among others, is no segment.
+The stretches of the text that begin and end with a pair of a template and are
+within its bounds are windows; of those that overlap, the one with the most pairs
+in common less those that either side lacks counts, unless a segment tells the
+same. A pair that the template lacks counts at each of its places.
 """
 
 from __future__ import annotations
@@ -21,6 +27,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tenderloom.llm.common import cut
+
 DICE = 0.8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -43,11 +51,14 @@ TEMPLATES = {
 }
 
 
-def bigrams(text: Column) -> Column:
-    """The distinct pairs of neighbouring words of the normalised text."""
+def all_bigrams(text: Column) -> Column:
+    """The pairs of neighbouring words of the normalised text, in order."""
     words = F.split(F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), "[^a-z0-9]+", " ")), " ")
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.array_distinct(pairs)
+    return F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+
+
+def bigrams(text: Column) -> Column:
+    return F.array_distinct(all_bigrams(text))
 
 
 def needles(given: dict[str, str], t: float) -> list[str]:
@@ -76,15 +87,52 @@ def holds_any(text: Column, words: list[str]) -> Column:
 
 
 def templates(spark: SparkSession, given: dict[str, str]) -> DataFrame:
-    """license, m (distinct bigrams), bigram."""
+    """license, m (distinct bigrams), size (all of them), bigram."""
     rows = F.array(*[F.struct(F.lit(k).alias("license"), F.lit(v).alias("body")) for k, v in sorted(given.items())])
-    one = spark.range(1).select(F.explode(rows).alias("t")).select("t.license", bigrams(F.col("t.body")).alias("b"))
-    return one.select("license", F.size("b").alias("m"), F.explode("b").alias("bigram"))
+    one = spark.range(1).select(F.explode(rows).alias("t")).select("t.license", all_bigrams(F.col("t.body")).alias("all")).withColumn("b", F.array_distinct("all"))
+    return one.select("license", F.size("b").alias("m"), F.size("all").alias("size"), F.explode("b").alias("bigram"))
+
+
+def windows(likely: DataFrame, known: DataFrame, t: float) -> DataFrame:
+    """doc_id, license, dice, pairs (sorted) of the best windows of the texts."""
+    rows = likely.select("doc_id", F.xxhash64("body").alias("text"), F.posexplode(all_bigrams(F.col("body"))).alias("pos", "bigram"))
+    hits = rows.join(F.broadcast(known), "bigram").withColumn("reach", F.ceil(F.col("size") * (2 - t) / t).cast("int"))
+    # A window that starts in a block ends in it or the next.
+    block = F.floor(F.col("pos") / F.col("reach"))
+    place = ["doc_id", "text", "license", "m", "reach", "block"]
+    dealt = hits.withColumn("block", F.explode(F.array(block, block - 1)))
+    blocks = dealt.groupBy(*place).agg(F.sort_array(F.collect_set(F.struct("pos", "bigram"))).alias("hits"))
+    blocks = blocks.where(F.size(F.array_distinct("hits.bigram")) * (2 - t) >= F.col("m") * t - 1e-9)
+    last = lambda h: F.coalesce(F.array_max(F.transform(F.filter("hits", lambda g: (g["bigram"] == h["bigram"]) & (g["pos"] < h["pos"])), lambda g: g["pos"])), F.lit(-1))
+    blocks = blocks.withColumn("steps", F.transform("hits", lambda h: F.struct(h["pos"].alias("pos"), last(h).alias("last"))))
+
+    def from_start(s: Column) -> Column:
+        def step(a: Column, h: Column) -> Column:
+            new = (h["last"] < s["pos"]).cast("int")
+            shared, again = a["shared"] + new, a["again"] + 1 - new
+            n = h["pos"] - s["pos"] + 1 - again
+            dice = 2 * shared / (n + F.col("m"))
+            now = F.struct((3 * shared - n - F.col("m")).alias("gain"), dice.alias("dice"), (-s["pos"]).alias("start"), h["pos"].alias("end"))
+            return F.struct(shared.alias("shared"), again.alias("again"), F.when(dice >= t, F.greatest(a["best"], now)).otherwise(a["best"]).alias("best"))
+
+        none = F.lit(None).cast("struct<gain:int,dice:double,start:int,end:int>")
+        begin = F.struct(F.lit(0).alias("shared"), F.lit(0).alias("again"), none.alias("best"))
+        within = F.filter("steps", lambda h: (h["pos"] >= s["pos"]) & (h["pos"] < s["pos"] + F.col("reach")))
+        return F.aggregate(within, begin, step, lambda a: a["best"])
+
+    starts = F.filter("steps", lambda s: F.floor(s["pos"] / F.col("reach")) == F.col("block"))
+    found = blocks.withColumn("best", F.array_max(F.transform(starts, from_start))).where(F.col("best").isNotNull())
+    inside = F.filter("hits", lambda h: (h["pos"] >= -F.col("best.start")) & (h["pos"] <= F.col("best.end")))
+    found = found.select("doc_id", "text", F.struct(F.col("best.gain").alias("gain"), F.col("best.dice").alias("dice"), F.col("best.start").alias("start"), F.col("best.end").alias("end"), "license", F.array_sort(F.array_distinct(F.transform(inside, lambda h: h["bigram"]))).alias("pairs")).alias("w"))
+    ranked = found.groupBy("doc_id", "text").agg(F.sort_array(F.collect_list("w"), asc=False).alias("all"))
+    apart = lambda a, w: F.forall(a, lambda v: (v["end"] < -w["start"]) | (w["end"] < -v["start"]))
+    kept = ranked.select("doc_id", F.explode(F.aggregate("all", F.filter("all", lambda w: F.lit(False)), lambda a, w: F.when(apart(a, w), F.concat(a, F.array(w))).otherwise(a))).alias("w"))
+    return kept.select("doc_id", "w.license", "w.dice", "w.pairs").groupBy("doc_id", "license", "pairs").agg(F.max("dice").alias("dice"))
 
 
 def scan(docs: DataFrame, given: dict[str, str] | None = None, dice: float = DICE, text: str = "text") -> DataFrame:
-    """doc_id, license, n_segments (distinct segments whose best template this
-    is; the first name of equals), dice (the best, to 6 digits).
+    """doc_id, license, n_segments (distinct segments, and windows that no segment
+    tells, whose best template this is; the first name of equals), dice (the best, to 6 digits).
 
     A document without a match, a null or empty text, a text of one word and a
     row without doc_id give no row; rows of one doc_id are one document.
@@ -96,14 +144,19 @@ def scan(docs: DataFrame, given: dict[str, str] | None = None, dice: float = DIC
     body = F.coalesce(F.col(text), F.lit(""))
     parts = F.array_distinct(F.concat(F.split(body, "\n"), F.split(body, "\n[ \t\r]*\n"), F.array(body)))
     words = needles(given, t)
-    likely = docs.where(F.col("doc_id").isNotNull() & holds_any(body, words))
-    segments = likely.select("doc_id", F.explode(parts).alias("segment")).where(holds_any(F.col("segment"), words))
+    likely = docs.where(F.col("doc_id").isNotNull() & holds_any(body, words)).select("doc_id", body.alias("body"), parts.alias("parts"))
+    segments = likely.select("doc_id", F.explode("parts").alias("segment")).where(holds_any(F.col("segment"), words))
     sized = segments.select("doc_id", F.xxhash64("segment").alias("segment"), bigrams(F.col("segment")).alias("b")).withColumn("n", F.size("b"))
     known = templates(docs.sparkSession, given)
     rows = sized.select("doc_id", "segment", "n", F.explode("b").alias("bigram"))
     near = (F.col("n") * (2 - t) >= F.col("m") * t) & (F.col("n") * t <= F.col("m") * (2 - t))
     shared = rows.join(F.broadcast(known), (rows["bigram"] == known["bigram"]) & near).groupBy("doc_id", "segment", "license", "n", "m")
-    scored = shared.agg(F.countDistinct(rows["bigram"]).alias("shared")).withColumn("dice", 2 * F.col("shared") / (F.col("n") + F.col("m"))).where(F.col("dice") >= t)
+    scored = shared.agg(F.collect_set(rows["bigram"]).alias("pairs")).withColumn("shared", F.size("pairs")).withColumn("dice", 2 * F.col("shared") / (F.col("n") + F.col("m"))).where(F.col("dice") >= t)
+    scored = cut(scored.select("doc_id", "segment", "license", "dice", "pairs"), "licences")
     best = scored.groupBy("doc_id", "segment").agg(F.min(F.struct((-F.col("dice")).alias("d"), "license")).alias("best"))
     found = best.select("doc_id", F.col("best.license").alias("license"), (-F.col("best.d")).alias("dice"))
+    told = scored.groupBy("doc_id", "license").agg(F.collect_set("pairs").alias("told"))
+    more = windows(likely, known, t).join(told, ["doc_id", "license"], "left")
+    more = more.where(~F.exists(F.coalesce("told", F.array()), lambda b: F.size(F.array_except("pairs", b)) == 0))
+    found = found.unionByName(more.select("doc_id", "license", "dice"))
     return found.groupBy("doc_id", "license").agg(F.count("*").alias("n_segments"), F.round(F.max("dice"), 6).alias("dice"))

@@ -186,6 +186,21 @@ def test_licences(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_licences_inside_lines_and_over_lines(spark):
+    notice = licenses.TEMPLATES["Apache-2.0-notice"].split()
+    wrapped = "\n".join(" ".join(notice[i : i + 5]) for i in range(0, len(notice), 5))
+    texts = [
+        (1, "This module was written in 2019 by the core team. Released under the MIT License. See docs for more."),
+        (2, f"{prose(1, 20)}\n{wrapped}\n{prose(2, 30)}"),
+        (3, f"{prose(3, 9000)} released under the MIT license {prose(4, 40)} Licensed under CC BY-SA 4.0. {prose(5, 9)}"),
+        (4, "Released under the MIT License.\nAnd this too: released under the old MIT License. So it is."),
+        (5, "It was released under the sea, and MIT wrote the License later."),
+    ]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {(r.doc_id, r.license): (r.n_segments, r.dice) for r in licenses.scan(docs).collect()}
+    assert got == {(1, "MIT"): (1, 1.0), (2, "Apache-2.0-notice"): (1, 1.0), (3, "MIT"): (1, 1.0), (3, "CC-BY-SA-4.0"): (1, 1.0), (4, "MIT"): (1, 1.0)}
+
+
 def test_language(spark):
     r = random.Random(3)
     letters = {"aa": "abcdefgh", "bb": "hijklmno", "cc": "абвгдежз"}
