@@ -51,6 +51,44 @@ TEMPLATES = {
 }
 
 
+def _gnu(name: str, what: str, versions: str) -> str:
+    return f"This {what} is free software{':' if '3' in versions else ';'} you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation{',' if '3' in versions else ';'} either {versions} of the License, or (at your option) any later version."
+
+
+_BSD_LEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_1 = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+_BSD_2 = "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_3 = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC": "Attribution-NonCommercial", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+
+#: Standard headers and paragraphs of licence texts; what follows the slash tells those of one licence apart.
+STANDARD = {
+    "AGPL-3.0/header": _gnu("Affero General Public License", "program", "version 3"),
+    "AGPL-3.0/preamble": "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software.",
+    "Apache-2.0/conditions": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "Apache-2.0/grant": "Grant of Copyright License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
+    "BSD-2-Clause/conditions": f"{_BSD_LEAD} 1. {_BSD_1} 2. {_BSD_2}",
+    "BSD-3-Clause/conditions": f"{_BSD_LEAD} 1. {_BSD_1} 2. {_BSD_2} 3. {_BSD_3}",
+    "BSD-3-Clause/endorsement": _BSD_3,
+    "BSL-1.0/notice": "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)",
+    "GPL-2.0/only": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "GPL-2.0/preamble": "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users.",
+    "GPL-3.0/header": _gnu("General Public License", "program", "version 3"),
+    "GPL-3.0/preamble": "The GNU General Public License is a free, copyleft license for software and other kinds of works.",
+    "ISC/disclaimer": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "LGPL-2.0/header": _gnu("Library General Public License", "library", "version 2"),
+    "LGPL-3.0/header": _gnu("Lesser General Public License", "library", "version 3"),
+    "LGPL-3.0/text": "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below.",
+    "MIT/grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    "MIT/disclaimer": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "Unlicense/text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "Zlib/grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+}
+STANDARD |= {f"CC-{k}-4.0/notice": f"This work is licensed under a Creative Commons {v} 4.0 International License." for k, v in _CC.items() if k != "BY"}
+STANDARD |= {f"CC-{k}-4.0/short": f"Licensed under CC {k} 4.0." for k in _CC if k not in ("BY-NC", "BY-SA")}
+STANDARD |= {f"CC-{k}-3.0/notice": f"This work is licensed under a Creative Commons {v} 3.0 Unported License." for k, v in _CC.items()}
+
+
 def all_bigrams(text: Column) -> Column:
     """The pairs of neighbouring words of the normalised text, in order."""
     words = F.split(F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), "[^a-z0-9]+", " ")), " ")
@@ -65,14 +103,14 @@ def needles(given: dict[str, str], t: float) -> list[str]:
     """Words of which every match holds at least one. A match shares at least
     m * t / (2 - t) bigrams with its template, so it cannot lack more than the
     rest; words that stand in more than so many bigrams are taken, first the long
-    ones that templates share. One that contains another is no longer needed."""
+    ones that templates share, numbers last. One that contains another is no longer needed."""
     out: set[str] = set()
     bodies = [re.sub("[^a-z0-9]+", " ", body.translate(str.maketrans(UPPER, LOWER))).split() for body in given.values()]
     shared = Counter(w for words in bodies for w in set(words))
     for words in bodies:
         left = set(zip(words, words[1:], strict=False))
         spare, covered = int(len(left) - len(left) * t / (2 - t) + 1e-9), 0
-        for w in sorted(set(words), key=lambda w: (w not in out, len(w) < 6, -shared[w], -len(w), w)):
+        for w in sorted(set(words), key=lambda w: (w not in out, len(w) < 6, w.isdigit(), -shared[w], -len(w), w)):
             if not left or covered > spare:
                 break
             hit = {p for p in left if w in p}
@@ -135,9 +173,11 @@ def scan(docs: DataFrame, given: dict[str, str] | None = None, dice: float = DIC
     tells, whose best template this is; the first name of equals), dice (the best, to 6 digits).
 
     A document without a match, a null or empty text, a text of one word and a
-    row without doc_id give no row; rows of one doc_id are one document.
+    row without doc_id give no row; rows of one doc_id are one document. A name
+    in `given` is told up to its first slash. Without `given`, the templates are
+    TEMPLATES and STANDARD.
     """
-    given = TEMPLATES if given is None else given
+    given = TEMPLATES | STANDARD if given is None else given
     if not given:
         raise ValueError("no licence templates")
     t = float(dice)
@@ -158,5 +198,5 @@ def scan(docs: DataFrame, given: dict[str, str] | None = None, dice: float = DIC
     told = scored.groupBy("doc_id", "license").agg(F.collect_set("pairs").alias("told"))
     more = windows(likely, known, t).join(told, ["doc_id", "license"], "left")
     more = more.where(~F.exists(F.coalesce("told", F.array()), lambda b: F.size(F.array_except("pairs", b)) == 0))
-    found = found.unionByName(more.select("doc_id", "license", "dice"))
+    found = found.unionByName(more.select("doc_id", "license", "dice")).withColumn("license", F.substring_index("license", "/", 1))
     return found.groupBy("doc_id", "license").agg(F.count("*").alias("n_segments"), F.round(F.max("dice"), 6).alias("dice"))

@@ -201,6 +201,26 @@ def test_licences_inside_lines_and_over_lines(spark):
     assert got == {(1, "MIT"): (1, 1.0), (2, "Apache-2.0-notice"): (1, 1.0), (3, "MIT"): (1, 1.0), (3, "CC-BY-SA-4.0"): (1, 1.0), (4, "MIT"): (1, 1.0)}
 
 
+def test_licences_by_standard_texts(spark):
+    gnu = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    bsd = "Copyright 2019 N. N.\n\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+    texts = [
+        (1, gnu.format("")),
+        (2, gnu.format("Affero ")),
+        (3, "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+        (4, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+        (5, bsd),
+        (6, bsd + "\n3. Neither the name of N. N. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+        (7, "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+        (8, "Look: " + gnu.format("").replace(" under", "\nunder").replace("any", "\nany")),
+    ]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {}
+    for r in licenses.scan(docs).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    assert got == {1: {"GPL-3.0"}, 2: {"AGPL-3.0"}, 3: {"CC-BY-NC-4.0"}, 4: {"MIT"}, 5: {"BSD-2-Clause"}, 6: {"BSD-3-Clause"}, 7: {"CC-BY-4.0"}, 8: {"GPL-3.0"}}
+
+
 def test_language(spark):
     r = random.Random(3)
     letters = {"aa": "abcdefgh", "bb": "hijklmno", "cc": "абвгдежз"}
