@@ -5,11 +5,10 @@ The segments of a text are its lines, its paragraphs (between blank lines) and
 the whole. Normalising lower-cases A-Z and turns every run of other characters
 than a-z and 0-9 into one space. A segment with n distinct bigrams can reach a
 coefficient t with a template of m only if m * t / (2 - t) <= n <= m * (2 - t) / t;
-these bounds prune the templates. By the same bound a match lacks few of its
-template's bigrams, so it holds one of a few words; texts and segments without
-any of them are passed over before they are normalised. Segments whose bigrams meet no template within
-the bounds vanish in a broadcast join (the templates are this module's list or
-the caller's, of bounded size); what is left is counted.
+these bounds prune the templates. By the same bound a match holds most of its
+template's bigrams: one pass over all texts joins their pairs of words with the
+templates (broadcast: this module's list or the caller's, of bounded size), and
+only texts with enough of them are split into segments, whose bigrams are counted.
 
 A notice inside a longer line, or wrapped over lines among others, is no segment.
 The stretches of the text that begin and end with a pair of a template and are
@@ -20,14 +19,10 @@ same. A pair that the template lacks counts at each of its places.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderloom.llm.common import cut
+from tenderloom.llm.common import cut, small
 
 DICE = 0.8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -99,29 +94,16 @@ def bigrams(text: Column) -> Column:
     return F.array_distinct(all_bigrams(text))
 
 
-def needles(given: dict[str, str], t: float) -> list[str]:
-    """Words of which every match holds at least one. A match shares at least
-    m * t / (2 - t) bigrams with its template, so it cannot lack more than the
-    rest; words that stand in more than so many bigrams are taken, first the long
-    ones that templates share, numbers last. One that contains another is no longer needed."""
-    out: set[str] = set()
-    bodies = [re.sub("[^a-z0-9]+", " ", body.translate(str.maketrans(UPPER, LOWER))).split() for body in given.values()]
-    shared = Counter(w for words in bodies for w in set(words))
-    for words in bodies:
-        left = set(zip(words, words[1:], strict=False))
-        spare, covered = int(len(left) - len(left) * t / (2 - t) + 1e-9), 0
-        for w in sorted(set(words), key=lambda w: (w not in out, len(w) < 6, w.isdigit(), -shared[w], -len(w), w)):
-            if not left or covered > spare:
-                break
-            hit = {p for p in left if w in p}
-            out |= {w} if hit else set()
-            left, covered = left - hit, covered + len(hit)
-    return sorted(w for w in out if not any(v != w and v in w for v in out))
-
-
-def holds_any(text: Column, words: list[str]) -> Column:
-    """Whether the lower-case text, made once, contains any of the words."""
-    return F.exists(F.array(F.lower(text)), lambda low: reduce(Column.__or__, [F.contains(low, F.lit(w)) for w in words], F.lit(False)))
+def possible(docs: DataFrame, known: DataFrame, t: float) -> DataFrame:
+    """doc_id, text (64-bit hash of it) of the texts (doc_id, body) that hold at
+    least m * t / (2 - t) distinct bigrams of some template; no other text can
+    hold a match. One pass: pairs of words meet the broadcast templates, and what
+    is left is counted."""
+    words = docs.select("doc_id", F.xxhash64("body").alias("text"), F.array_remove(F.split("body", "[^A-Za-z0-9]+"), "").alias("w"))
+    pairs = words.select("doc_id", "text", F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.size("w")).alias("b"))).alias("p"))
+    rows = pairs.select("doc_id", "text", F.lower(F.concat("p.a", F.lit(" "), "p.b")).alias("bigram"))
+    hits = rows.join(F.broadcast(known.select("license", "m", "bigram")), "bigram").groupBy("doc_id", "text", "license", "m").agg(F.size(F.collect_set("bigram")).alias("shared"))
+    return hits.where(F.col("shared") * (2 - t) >= F.col("m") * t - 1e-9).select("doc_id", "text").distinct()
 
 
 def templates(spark: SparkSession, given: dict[str, str]) -> DataFrame:
@@ -182,12 +164,13 @@ def scan(docs: DataFrame, given: dict[str, str] | None = None, dice: float = DIC
         raise ValueError("no licence templates")
     t = float(dice)
     body = F.coalesce(F.col(text), F.lit(""))
-    parts = F.array_distinct(F.concat(F.split(body, "\n"), F.split(body, "\n[ \t\r]*\n"), F.array(body)))
-    words = needles(given, t)
-    likely = docs.where(F.col("doc_id").isNotNull() & holds_any(body, words)).select("doc_id", body.alias("body"), parts.alias("parts"))
-    segments = likely.select("doc_id", F.explode("parts").alias("segment")).where(holds_any(F.col("segment"), words))
-    sized = segments.select("doc_id", F.xxhash64("segment").alias("segment"), bigrams(F.col("segment")).alias("b")).withColumn("n", F.size("b"))
+    parts = F.array_distinct(F.concat(F.split("body", "\n"), F.split("body", "\n[ \t\r]*\n"), F.array("body")))
     known = templates(docs.sparkSession, given)
+    told = docs.where(F.col("doc_id").isNotNull()).select("doc_id", body.alias("body"))
+    hit = cut(possible(told, known, t), "licence-texts")
+    likely = told.join(small(hit), (told["doc_id"] == hit["doc_id"]) & (F.xxhash64("body") == hit["text"]), "left_semi").withColumn("parts", parts)
+    segments = likely.select("doc_id", F.explode("parts").alias("segment"))
+    sized = segments.select("doc_id", F.xxhash64("segment").alias("segment"), bigrams(F.col("segment")).alias("b")).withColumn("n", F.size("b"))
     rows = sized.select("doc_id", "segment", "n", F.explode("b").alias("bigram"))
     near = (F.col("n") * (2 - t) >= F.col("m") * t) & (F.col("n") * t <= F.col("m") * (2 - t))
     shared = rows.join(F.broadcast(known), (rows["bigram"] == known["bigram"]) & near).groupBy("doc_id", "segment", "license", "n", "m")
