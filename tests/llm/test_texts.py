@@ -35,6 +35,30 @@ def test_repeats_equal_brute_force(spark, monkeypatch):
     assert repeats.drop_repeats(no_documents(spark)).count() == 0
 
 
+def test_subtrees_equal_counted_windows():
+    """Random groups around one prefix, against counting every window."""
+    r, window, anchor = random.Random(6), 9, 4
+    prefix = [f"p{i}".encode() for i in range(anchor)]
+    for _ in range(300):
+        members = []
+        for _ in range(r.randint(1, 7)):
+            lead, first = r.randint(0, window - anchor), 0
+            n = r.randint(1, lead + 1)
+            words = [r.choice([b"a", b"b"]) for _ in range(lead)] + prefix
+            words += [r.choice([b"a", b"b"]) for _ in range(n + window - 1 - len(words))]
+            members.append((lead, n, b" ".join(words[first : n + window - 1])))
+        seen = Counter((lead - k, *w.split()[k : k + window]) for lead, n, w in members for k in range(n))
+        want = [[k for k in range(n) if seen[(lead - k, *w.split()[k : k + window])] > 1] for lead, n, w in members]
+        assert repeats.deep_windows(members, window) == want
+
+
+def test_maximal_repeats(spark):
+    a, b = prose(1, 90), prose(2, 50)
+    docs = spark.createDataFrame([(1, f"{prose(3, 20)} x {a} y {b} z"), (2, f"q {a} r"), (3, f"{b} s {prose(4, 40)}"), (4, None)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.start, r.n_words) for r in repeats.maximal_repeats(docs).collect())
+    assert got == [(1, 21, 90), (1, 112, 50), (2, 1, 90), (3, 0, 50)]
+
+
 def brute_components(docs, k, percent):
     sets = {}
     for i, t in docs:
