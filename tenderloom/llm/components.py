@@ -2,8 +2,10 @@
 
 Every round is joins and aggregations over the edges and ends in a written
 table; nothing but two numbers for each round goes to the driver. The minimum
-of a node's neighbours is aggregated before the shuffle, and joined back, so a
-node with very many neighbours is a skewed join, which Spark splits.
+of a node's neighbours is aggregated before the shuffle and written before it is
+joined back: a broadcast join while the nodes are few, else a join that Spark
+splits at a node with very many neighbours (an aggregate in the same stage would
+forbid that). The tables of a round are deleted once the next one is written.
 """
 
 from __future__ import annotations
@@ -11,20 +13,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenderloom.llm.common import cut
+from tenderloom.llm.common import cut, forget, small
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _minima(pairs: DataFrame, name: str) -> DataFrame:
+    """u, m: the smallest v of each u."""
+    return cut(pairs.groupBy("u").agg(F.min("v").alias("m")), name)
+
+
+def _large_star(edges: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """The new edges, and the table they are made with."""
     both = edges.union(edges.select("v", "u"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    least = _minima(both, name)
+    moved = both.join(small(least.select("u", F.least("m", "u").alias("m"))), "u").where("v > u")
+    return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), least
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    least = _minima(down, name)
+    moved = down.join(small(least), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), least
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -36,7 +45,13 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     edges = cut(edges.where("u <> v").select("u", "v"), name)
     before = None
     while True:
-        edges = cut(_small_star(_large_star(edges)), name)
+        large, first = _large_star(edges, name)
+        large = cut(large, name)
+        small_, second = _small_star(large, name)
+        after = cut(small_, name)
+        for done in (edges, first, large, second):
+            forget(done)
+        edges = after
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or now[0] == 0:
             break

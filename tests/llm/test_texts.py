@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tenderloom.llm import components, language, leaks, licenses, near, private, quality, queries, repeats
+from tenderloom.llm import common, components, language, leaks, licenses, near, private, quality, queries, repeats
 
 from .fixtures import WORDS, documents, no_documents, prose, rows
 
@@ -92,6 +92,34 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, k, block):
     assert all(x.kept == (x.doc_id == x.component_id) for x in got)
 
 
+def test_strays_make_no_pairs_of_all(spark, monkeypatch):
+    """Loosely alike texts, some of them linked: all links are found, and few pairs are compared."""
+    shared, r, docs = prose(50, 30).split(), random.Random(8), []
+    for i in range(300):
+        own = [f"u{i}x{j}" for j in range(45)]
+        docs.append((i, " ".join(shared + own)))
+        if i % 50 == 0:
+            own[r.randrange(45)] = "z"
+            docs.append((1000 + i, " ".join(shared + own)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(near, "BLOCK", 16)
+    monkeypatch.setattr(near, "candidate_groups", lambda nodes, percent: nodes.select("node", F.lit(0).cast("long").alias("component")))
+    blocks, pairs, cut = [], [], near.cut
+
+    def seen(table, name):
+        out = cut(table, name)
+        if name == "near-common":
+            blocks.append(out.count())
+        if name == "near-pairs":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(near, "cut", seen)
+    got = near.near_duplicates(df, k=2).collect()
+    assert {x.doc_id: x.component_id for x in got if x.component_id != x.doc_id} == {1000 + i: i for i in range(0, 300, 50)}
+    assert blocks == [0] and pairs[0] < 1000
+
+
 def test_near_duplicates_of_odd_rows(spark):
     got = near.near_duplicates(documents(spark)).collect()
     assert len(got) == len(rows())
@@ -106,6 +134,29 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_hubs_are_split(spark, monkeypatch):
+    """The join at the hub of a star is a skewed join that Spark splits."""
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        monkeypatch.setattr(components, "small", lambda df: df)
+        edges = spark.range(1, 40000).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v")).union(spark.range(50000, 60000).select(F.col("id").alias("u"), (F.col("id") + 10000).alias("v")))
+        moved, _ = components._large_star(common.cut(edges, "edges"), "star")
+        moved.collect()
+        assert "skew=true" in moved._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_leaks(spark):
     item = "A train leaves Boston at 60 km per hour and another leaves Denver at 45 km per hour, when do they meet on the long straight track?"
     other = item.replace("60", "80").replace("45", "35").replace("Boston", "Madrid").replace("Denver", "Lisbon")
