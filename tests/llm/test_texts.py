@@ -312,6 +312,59 @@ def test_language(spark):
     assert language.identify(docs.limit(0), model).count() == 0
 
 
+def brute_kneser_ney(texts, order=4, d=0.75):
+    """log p of every predicted character by dictionaries of counts, in the definition's recursion."""
+    clean = [re.sub(r"[^a-zа-я]+", " ", t.lower()) for t in texts]
+    top = Counter()
+    for t in clean:
+        s = " " * (order - 1) + t  # a text begins after gaps
+        top.update(s[i : i + order] for i in range(len(t)))
+    tables = [top]
+    for _ in range(order - 1):
+        tables.append(Counter(g[1:] for g in tables[-1]))  # in how many distinct n-grams
+
+    heads = [{} for _ in tables]
+    for table, own in zip(tables, heads, strict=True):
+        for g, n in table.items():
+            total, kinds = own.get(g[:-1], (0, 0))
+            own[g[:-1]] = total + n, kinds + 1
+
+    def p(gram, level=0):
+        if level == order:
+            return 1 / 256
+        total, kinds = heads[level].get(gram[:-1], (0, 0))
+        rest = p(gram[1:], level + 1)
+        if not total:
+            return rest
+        return max(tables[level][gram] - d, 0) / total + d * kinds / total * rest
+
+    return p
+
+
+def test_kneser_ney_equals_brute_force(spark):
+    import math
+
+    r = random.Random(12)
+    make = lambda letters, n: " ".join("".join(r.choice(letters) for _ in range(r.randint(1, 6))) for _ in range(n))
+    train = [(i, make("abcde", 30), "aa") for i in range(20)] + [(100 + i, make("cdefжз", 30), "bb") for i in range(20)]
+    new = ["abc dea cab", "жз fed", "xyz abc", "e"]
+    docs = spark.createDataFrame(train, "doc_id long, text string, lang string")
+    models = {lang: brute_kneser_ney([t for _, t, x in train if x == lang]) for lang in ("aa", "bb")}
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate([*new, new[0], None, ""])], "doc_id long, text string")
+    rows = []
+    for cells in (language.CELLS, 200):  # one slice; many
+        model = language.train(docs, cells=cells)
+        assert (len(model.tops) > 1) == (cells == 200)
+        e, _ = model.entropies(new)
+        for k, lang in enumerate(("aa", "bb")):
+            for t, got in zip(new, e[:, k], strict=True):
+                padded = "   " + t
+                want = -sum(math.log(models[lang](padded[i : i + 4])) for i in range(len(t))) / len(t)
+                assert abs(got - want) < 1e-5 * want, (lang, t, got, want)
+        rows.append({x.doc_id: (x.lang_pred, round(x.score, 6), x.rejected) for x in language.identify(texts, model).collect()})
+    assert rows[0] == rows[1] and len(rows[0]) == 7
+
+
 def test_probabilities_sum_to_one():
     import numpy as np
 
@@ -319,8 +372,8 @@ def test_probabilities_sum_to_one():
     keys, counts = np.unique(code, return_counts=True)
     model = language.build({"en": (keys.astype(np.uint32), counts)})
     for context in ("the", "cat", "xqz", "at "):
-        head = language.codes([context + "a"])[0][-1] & np.uint32(~127 & 0xFFFFFFF)
-        every = (head | np.arange(128, dtype=np.uint32)).astype(np.uint32)
+        head = language.codes([context + "a"])[0][-1] & np.uint32(0xFFFFFF00)
+        every = (head | np.arange(256, dtype=np.uint32)).astype(np.uint32)
         assert abs(np.exp(model.log(every)).sum() - 1) < 1e-3
 
 
