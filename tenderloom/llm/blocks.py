@@ -1,9 +1,9 @@
 """Token ids in patched frame-of-reference blocks.
 
 A block holds BLOCK ids. Its minimum is subtracted; the width that covers the
-chosen percentile of the differences, in steps of 4 bits, is the block's width;
-every difference is packed at that width, and the few that need more bits have their high bits in
-an exception list (position in block, high part). A chunk is a run of whole
+chosen percentile of the differences is the block's width in bits; every
+difference is packed at that width, and the few that need more bits have their
+high bits in an exception list (position in block, high part). A chunk is a run of whole
 documents: a header, the start of each document in ids, the start of each block
 in bytes, then the blocks. One chunk is one row of a Parquet data set, which is
 the container that any shared store holds; rows are in ascending doc_id order.
@@ -45,27 +45,18 @@ def _bits(x: np.ndarray) -> np.ndarray:
 
 
 def _pack(low: np.ndarray, width: int) -> np.ndarray:
-    """Rows of values below 2**width, width a multiple of 4, as rows of bytes:
-    nibbles, the lowest first."""
-    if width % 8 == 0:
-        return low.astype("<u4").view(np.uint8).reshape(len(low), -1, 4)[:, :, : width // 8].reshape(len(low), -1)
-    n = low.shape[1] + low.shape[1] % 2
-    nibbles = np.zeros((len(low), n, width // 4), np.uint8)
-    for k in range(width // 4):
-        nibbles[:, : low.shape[1], k] = (low >> np.uint32(4 * k)) & np.uint32(15)
-    flat = nibbles.reshape(len(low), -1)
-    return flat[:, ::2] | flat[:, 1::2] << np.uint8(4)
+    """Rows of values below 2**width as rows of bytes, the lowest bit first."""
+    bits = np.empty((*low.shape, width), np.uint8)
+    for k in range(width):
+        bits[:, :, k] = (low >> np.uint32(k)) & np.uint32(1)
+    return np.packbits(bits.reshape(len(low), -1), axis=1, bitorder="little")
 
 
 def _unpack(raw: np.ndarray, width: int, n: int) -> np.ndarray:
+    bits = np.unpackbits(raw, axis=1, count=n * width, bitorder="little").reshape(len(raw), n, width)
     out = np.zeros((len(raw), n), np.uint32)
-    if width % 8 == 0:
-        for k in range(width // 8):
-            out |= raw.reshape(len(raw), n, -1)[:, :, k].astype(np.uint32) << np.uint32(8 * k)
-        return out
-    nibbles = np.stack([raw & np.uint8(15), raw >> np.uint8(4)], axis=2).reshape(len(raw), n + n % 2, width // 4)
-    for k in range(width // 4):
-        out |= nibbles[:, :n, k].astype(np.uint32) << np.uint32(4 * k)
+    for k in range(width):
+        out |= bits[:, :, k].astype(np.uint32) << np.uint32(k)
     return out
 
 
@@ -81,7 +72,7 @@ def pack_blocks(ids: np.ndarray, block: int = BLOCK, percentile: int = PERCENTIL
         rest = part - base[:, None]
         need = _bits(rest)
         at = max(0, -(-part.shape[1] * percentile // 100) - 1)
-        width = -(-np.partition(need, at, axis=1)[:, at] // 4) * 4
+        width = np.partition(need, at, axis=1)[:, at]
         found: list[bytes] = [b""] * len(part)
         for w in np.unique(width):
             rows = np.flatnonzero(width == w)
@@ -164,10 +155,11 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None,
     """Encodes the texts, writes the ids as chunks in ascending doc_id order and
     returns the folder.
 
-    A range shuffle of the texts by doc_id makes the shards (the texts
-    themselves split repeated keys); each task sorts, encodes and packs its own,
-    so the ids are made once and move nowhere. A null doc_id comes first; rows
-    of one doc_id are in order of their texts. An empty table makes no chunk.
+    A range shuffle by doc_id makes the shards (a hash of the text splits repeated
+    keys, and only such numbers are sampled for the ranges); each task sorts,
+    encodes and packs its own, so the ids are made once and move nowhere. A null
+    doc_id comes first; rows of one doc_id are in order of that hash. An empty
+    table makes no chunk.
     """
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
@@ -195,7 +187,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None,
             yield row()
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(parts, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("h")).repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
     ordered.mapInArrow(run, CHUNK_SCHEMA).write.parquet(path)
     return path
 
@@ -273,23 +265,3 @@ def _words(path: str, kept: dict = {}) -> Words:  # noqa: B006
     if path not in kept:
         kept[path] = Words(path)
     return kept[path]
-
-
-def encode(docs: DataFrame, path: str, end_id: int, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs with `ids` (binary, little-endian uint32) in place of `text`: every
-    text with the vocabulary in `path`, and end_id after it. A null or empty
-    text has the end id alone. Other columns are carried along."""
-    keep = [c for c in docs.columns if c not in (text, ids)]
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(ids, T.BinaryType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = struct.pack("<I", end_id)
-        for b in batches:
-            offsets, data = text_buffers(b.column(len(keep)))
-            for i, j in steps(offsets):
-                got, first = _words(path).encode(offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]])
-                raw, at = got.astype("<u4").tobytes(), (first * 4).tolist()
-                own = [raw[x:y] + end for x, y in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*b.slice(i, j - i).columns[: len(keep)], pa.array(own, pa.binary())], schema.names)
-
-    return docs.select(*keep, F.col(text)).mapInArrow(run, schema)

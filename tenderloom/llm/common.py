@@ -59,6 +59,23 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+ROW_KEY = "row key"
+#: Keys of rows that doc_id doesn't tell apart begin here; doc_ids are below.
+MADE_KEYS = 1 << 62
+
+
+def row_keys(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with ROW_KEY: doc_id where no other row has it, else (a null or
+    repeated doc_id) MADE_KEYS and 62 bits of a hash of doc_id and text, the same
+    for equal rows."""
+    ids = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").cast("long").alias(f"{ROW_KEY} id"))
+    shared = small(cut(ids, "repeated-ids").withColumn(f"{ROW_KEY} again", F.lit(True)))
+    both = docs.join(shared, F.col("doc_id").cast("long") == F.col(f"{ROW_KEY} id"), "left")
+    made = F.xxhash64("doc_id", text).bitwiseAND(MADE_KEYS - 1).bitwiseOR(MADE_KEYS)
+    key = F.when(F.col("doc_id").isNotNull() & F.col(f"{ROW_KEY} again").isNull(), F.col("doc_id").cast("long")).otherwise(made)
+    return both.withColumn(ROW_KEY, key).select(*docs.columns, ROW_KEY)
+
+
 def residue(column: str, modulus: int):
     """crc32 of the decimal text of a column, modulo."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)

@@ -29,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenderloom.llm.common import _BASE, _UNBASE, cut, mix, powers, small, span_hashes, steps, text_buffers
+from tenderloom.llm.common import _BASE, _UNBASE, ROW_KEY, cut, mix, powers, row_keys, small, span_hashes, steps, text_buffers
 
 WINDOW = 8
 SHARE = 0.5
 LITERALS = 3
-#: Benchmark windows up to this number are broadcast (8 bytes each to the Python side); more are joined by shuffle.
-BROADCAST_WINDOWS = 1 << 19
+#: Benchmark windows (rows, some 150 bytes each) up to this number are broadcast; more are joined by shuffle.
+BROADCAST_WINDOWS = 1 << 18
 UNITS = "mm cm m km in ft mi mg g kg t lb oz ml l s ms min h hr hrs hour hours day days week weeks month months year years minute minutes second seconds meter meters metre metres kilometer kilometers gram grams liter liters litre litres percent dollar dollars euro euros cent cents usd eur gbp mph kmh kph".split()
 
 _TOKEN = np.zeros(256, bool)
@@ -202,11 +202,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     sizes = sorted({int(n) for n in lengths if n > 0} | {window})
     item = template_windows(benchmark, "item_id", text, sizes, whole_only=True)
     item = item.select(F.col("key").alias("item_id"), "form", F.col("pos").alias("item_pos"), "hash", "size", F.col("slots").alias("item_slots"), F.col("opened").alias("item_opened")).distinct()
-    hashes = item.select("hash").distinct()
-    small = hashes.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    only = np.sort(np.array([r.hash for r in hashes.collect()], np.int64).view(np.uint64)) if small else None
+    item = cut(item, "leak-items")
+    few = item.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS  # the rows themselves: many items may share a hash
+    only = np.sort(np.array([r.hash for r in item.select("hash").distinct().collect()], np.int64).view(np.uint64)) if few else None
     found = template_windows(docs, "doc_id", text, sizes, only).withColumnRenamed("key", "doc_id").drop("opened")
-    pairs = found.join(F.broadcast(item) if small else item, ["hash", "size", "form"])
+    pairs = found.join(F.broadcast(item) if few else item, ["hash", "size", "form"])
     both = F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     pairs = pairs.withColumn("slot", F.array_distinct(F.filter(both, lambda s: s["a"] != 0)))
     same = F.forall("slot", lambda s: s["a"] == s["b"])
@@ -220,9 +220,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     best = values.groupBy(*place, "a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
     chosen = best.groupBy(*place).agg(F.map_from_entries(F.collect_list(F.struct("a", "b"))).alias("value"))
     agreed = pairs.join(chosen, place, "left").where(F.forall("slot", lambda s: s["b"] == F.col("value")[s["a"]]))
-    per_item = item.groupBy("item_id", "form").agg(F.countDistinct("item_pos").alias("n_windows"))
+    per_item = cut(item.groupBy("item_id", "form").agg(F.countDistinct("item_pos").alias("n_windows")), "leak-sizes")
     scored = agreed.groupBy("doc_id", "item_id", "form").agg(F.countDistinct("item_pos").alias("n_matched"), F.min(same.cast("int")).alias("same"))
-    scored = scored.join(F.broadcast(per_item) if small else per_item, ["item_id", "form"]).withColumn("coverage", F.col("n_matched") / F.col("n_windows"))
+    scored = scored.join(small(per_item), ["item_id", "form"]).withColumn("coverage", F.col("n_matched") / F.col("n_windows"))
     better = F.max(F.struct("coverage", "same", (-F.col("form")).alias("form"), "n_windows", "n_matched")).alias("best")
     best = scored.where(F.col("coverage") >= share).groupBy("doc_id", "item_id").agg(better)
     kind = F.when(F.col("best.same") == 1, "exact").otherwise("re-parameterised")
@@ -230,7 +230,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the documents that any item leaks into; a row without
-    doc_id stays."""
-    hit = cut(leaks(docs, benchmark, **options).select("doc_id").distinct(), "leaks")
-    return docs.join(small(hit), "doc_id", "left_anti").select(docs.columns)
+    """docs without the rows whose text holds an item. Each row is judged by its
+    own text, whatever its doc_id: rows without one or with the same one are told
+    apart by row_keys. A row with a null or empty text stays."""
+    keyed = row_keys(docs)
+    hit = cut(leaks(keyed.select(F.col(ROW_KEY).alias("doc_id"), F.col(options.get("text", "text"))), benchmark, **options).select(F.col("doc_id").alias(ROW_KEY)).distinct(), "leaks")
+    return keyed.join(small(hit), ROW_KEY, "left_anti").select(docs.columns)

@@ -93,12 +93,15 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: in
 
     docs (doc_id, text), labels (doc_id, label of 0 or 1; null: not used). The
     max_rows labelled rows that come first by the hash of doc_id are joined to
-    their texts; by that bound they are broadcast. Without labels all weights
+    their texts; by that bound they are broadcast. Of rows that share a doc_id one
+    text counts (the least by its hash). Without labels all weights
     are 0, and every score is one half.
     """
     chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
     chosen = chosen.withColumn("ord", F.xxhash64("doc_id")).orderBy("ord", "doc_id", "label").limit(max_rows)
-    rows = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
+    found = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
+    # One text for each label, however many rows share the doc_id; combined before the shuffle.
+    rows = found.groupBy("ord", "doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [(o, y, x.values.to_numpy()) for b in batches for o, y, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True)]
