@@ -147,9 +147,9 @@ def test_hubs_are_split(spark, monkeypatch):
     try:
         for k, v in conf.items():
             spark.conf.set(k, v)
-        monkeypatch.setattr(components, "small", lambda df: df)
         edges = spark.range(1, 40000).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v")).union(spark.range(50000, 60000).select(F.col("id").alias("u"), (F.col("id") + 10000).alias("v")))
-        moved, _ = components._large_star(common.cut(edges, "edges"), "star")
+        monkeypatch.setattr(components, "small", lambda df: df)
+        moved, _ = components._large_star(common.cut(edges, "edges"), 10**9, "star")
         moved.collect()
         assert "skew=true" in moved._jdf.queryExecution().executedPlan().toString()
     finally:
