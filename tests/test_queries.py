@@ -9,8 +9,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from tenderloom.plans.queries import QUERIES
-from tenderloom.plans.sql import ORACLE_SQL
+from tenderloom.plans.catalog import ORACLE_SQL, QUERIES
 
 D = "/root/testdata/sf0.001"
 
