@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step takes; a longer text is a step of its own.
-STEP_BYTES = 1 << 19
+STEP_BYTES = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -103,6 +103,7 @@ def steps(offsets: np.ndarray, limit: int = STEP_BYTES) -> Iterator[tuple[int, i
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
         yield i, j
         i = j
+    pa.default_memory_pool().release_unused()  # workers live on; what a batch took goes back
 
 
 _rng = np.random.default_rng(20240229)
