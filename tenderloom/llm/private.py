@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tenderloom.llm.boosting import Trees, fit
+from tenderloom.llm.common import give_back
 
 KINDS = ("email", "ip", "card", "phone")
 #: Made-up snippets that the fit uses.
@@ -363,6 +364,7 @@ def find(docs: DataFrame, model: Model | None = None, text: str = "text", spans:
         for b in batches:
             got = [[dict(zip(("kind", "start", "end", "base", "score"), s, strict=True)) for s in spans_of(x, model)] for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, kind)], schema.names)
+            give_back()
 
     return docs.select(*keep).mapInArrow(run, schema)
 
@@ -392,5 +394,6 @@ def redact(docs: DataFrame, model: Model | None = None, text: str = "text") -> D
             columns = list(b.columns)
             columns[at] = pa.array([one(x) for x in columns[at].to_pylist()], columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, schema.names)
+            give_back()
 
     return docs.mapInArrow(run, schema)
