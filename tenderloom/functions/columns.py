@@ -89,8 +89,8 @@ def numeric(c: Column, precision: int, scale: int) -> Column:
 
 
 def risk_share(c: Column) -> Column:
-    """A risk of 0..1 or 0..100 as a share."""
-    return F.when(c < 0, 0.0).when(c > 1, F.least(c / 100, F.lit(1.0))).otherwise(c)
+    """A risk of 0..1 or 0..100 as a share; null gives 0."""
+    return F.when(c.isNull() | (c < 0), 0.0).when(c > 1, F.least(c / 100, F.lit(1.0))).otherwise(c)
 
 
 def any_date(c: Column, formats: tuple[str, ...] = ("yyyy-MM-dd", "dd/MM/yyyy", "dd-MM-yyyy", "dd.MM.yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "yyyy/MM/dd")) -> Column:

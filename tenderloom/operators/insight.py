@@ -156,3 +156,9 @@ def spend_by_level(lines: DataFrame, products: DataFrame, level: Column) -> Data
     """level, spend, n_items."""
     rows = lines.select("item_id", "line_total").join(products.select("item_id", level.alias("level")), "item_id")
     return rows.groupBy("level").agg(F.round(total(F.col("line_total")), 2).alias("spend"), F.countDistinct("item_id").alias("n_items"))
+
+
+def offer_bounds(offers: DataFrame) -> DataFrame:
+    """One row: the least and largest price and lead time and the longest terms
+    of offers (price, lead_days, net_days); nulls don't count."""
+    return offers.agg(F.min("price").alias("price_min"), F.max("price").alias("price_max"), F.min("lead_days").alias("lead_min"), F.max("lead_days").alias("lead_max"), F.max("net_days").alias("net_max"))

@@ -99,3 +99,13 @@ def boilerplate(docs: DataFrame, longest: int = 80, least: int = 3, share: float
     one = lines.select("doc_id", F.size("l").alias("n_lines"), F.explode("l").alias("line")).where(F.char_length("line") <= longest)
     g = one.groupBy("doc_id", "n_lines", "line").count()
     return g.where((F.col("count") >= least) & (F.col("count") >= share * F.col("n_lines"))).select("doc_id", "line", F.col("count").alias("n"))
+
+
+def covering(hits: DataFrame, keys: list[str], collection: str, score: str, hit: str, n: int) -> DataFrame:
+    """The n hits of each key by score in which every collection has its best
+    hit, and the rank in that order; if there are more than n collections, the
+    best hits of the n best. Only the first n of each collection meet in a key."""
+    order = [F.col(score).desc(), F.col(hit)]
+    best = first_n(hits, [*keys, collection], order, n, hit).withColumnRenamed("rank", "_place")
+    chosen = best.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy((F.col("_place") == 1).desc(), *order))).where(F.col("_k") <= n)
+    return chosen.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).drop("_place", "_k")

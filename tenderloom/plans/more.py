@@ -7,10 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tenderloom.functions import columns as C
 from tenderloom.functions import fields as X
-from tenderloom.operators import insight, records, resolution
+from tenderloom.operators import insight, quotes, records, resolution, retrieval
 from tenderloom.plans.sql import SQL as SQL_OF
 from tenderloom.plans.sql import VIEWS, money
 from tenderloom.sources.tables import Tables
@@ -324,4 +325,79 @@ def events_since(t):
     return insight.changed_since(t.raw("events"), "ts", since).select("event_id", "event_type")
 
 
+_STATE = "CASE o_orderkey % 6 WHEN 0 THEN ' Done ' WHEN 1 THEN 'ERROR' WHEN 2 THEN '2.5' WHEN 3 THEN '' WHEN 4 THEN 'nan' ELSE o_orderstatus END"
+_DONE, _NOT_DONE = (", ".join(map(quoted, x)) for x in (X.DONE, X.NOT_DONE))
+
+
+@query(f"SELECT order_key, CASE WHEN done THEN 1 ELSE -1 END AS sign, CASE WHEN done THEN 'completed' ELSE 'failed' END AS label, known AS recognised FROM (SELECT *, coalesce(s IN ({_DONE}) OR (v IS NOT NULL AND NOT isnan(v) AND v > 0), false) AS done, coalesce(s IN ({_DONE}, {_NOT_DONE}) OR (v IS NOT NULL AND NOT isnan(v)), false) AS known FROM (SELECT o_orderkey AS order_key, lower(trim({_STATE})) AS s, try_cast(lower(trim({_STATE})) AS DOUBLE) AS v FROM orders))")
+def completion_states(t):
+    odd = F.col("o_orderkey") % 6
+    state = F.when(odd == 0, " Done ").when(odd == 1, "ERROR").when(odd == 2, "2.5").when(odd == 3, "").when(odd == 4, "nan").otherwise(F.col("o_orderstatus"))
+    return t.raw("orders").select(F.col("o_orderkey").alias("order_key"), X.completion(state).alias("c")).select("order_key", "c.*")
+
+
+@query("SELECT event_id, round(CASE WHEN v IS NULL OR v < 0 THEN 0.0 WHEN v > 1 THEN least(v / 100, 1.0) ELSE v END, 6) AS share FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 7 = 1 THEN value / 1000 ELSE value - 20 END AS v FROM events)")
+def risk_shares(t):
+    odd, value = F.col("event_id") % 7, F.col("value")
+    return t.raw("events").select("event_id", F.round(C.risk_share(F.when(odd == 0, None).when(odd == 1, value / 1000).otherwise(value - 20)), 6).alias("share"))
+
+
+@query("SELECT rank_position, supplier_id, q.quote_id AS quote_id, round(q.total_cost, 2) AS total_cost FROM (SELECT rank_position, supplier_id, arg_min(quotes, (total_cost, quote_id)) AS q FROM (SELECT supplier_id, row_number() OVER (ORDER BY risk_score DESC, supplier_id)::INT AS rank_position FROM suppliers ORDER BY rank_position LIMIT 10) JOIN quotes USING (supplier_id) GROUP BY 1, 2) ORDER BY rank_position LIMIT 3")
+def quotes_by_rank(t):
+    order = [F.col("risk_score").desc_nulls_last(), F.col("supplier_id")]
+    ten = t.suppliers.select("supplier_id", "risk_score").orderBy(*order).limit(10)
+    ranked = ten.select("supplier_id", F.row_number().over(Window.orderBy(*order)).alias("rank_position"))
+    return quotes.cheapest_of_ranked(t.quotes, ranked)
+
+
+_WORDS = "list_distinct(list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^a-z0-9]+'), lambda x: x <> ''))"
+
+
+@query(f"SELECT conv_id, turn, round(CASE WHEN len(list_distinct(a || b)) > 0 THEN len(list_intersect(a, b)) / len(list_distinct(a || b)) ELSE 0.0 END, 6) AS overlap FROM (SELECT x.conv_id, x.turn, {_WORDS.format('x.text')} AS a, {_WORDS.format('y.text')} AS b FROM conversations x JOIN conversations y ON x.conv_id = y.conv_id AND x.turn = y.turn + 1)")
+def turn_overlap(t):
+    turns = t.raw("conversations").select("conv_id", "turn", C.words_of(F.col("text")).alias("a"))
+    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("a").alias("b"))
+    return turns.join(before, ["conv_id", "turn"]).select("conv_id", "turn", F.round(C.jaccard(F.col("a"), F.col("b")), 6).alias("overlap"))
+
+
+_REPLY = "CASE o_orderkey % 4 WHEN 0 THEN 'Our price is £' || amount || '. Lead time 3 weeks. Net ' || o_orderkey % 60 || ' days, green steel.' WHEN 1 THEN 'USD 1,250.50 first, then EUR ' || amount || ' with a discount. A delay of 10 business days is a risk! More soon.' WHEN 2 THEN 'We are unable to quote. Call 12.' ELSE 'Final offer: ' || amount || ', delivery 2.5 days' END"
+_BARE_REPLY = f"regexp_replace(regexp_replace(r, '{X.DURATION}', ' ', 'g'), '{X.NET_DAYS}', ' ', 'g')"
+_SENTENCES = "array_to_string(list_transform(list_filter(string_split(regexp_replace(r, '([.!?])[ \\t\\r\\n\\f]+', '\\1' || chr(1), 'g'), chr(1)), lambda s: regexp_matches(s, '{}')), lambda s: trim(s)), '|')"
+_OFFERS = f"""SELECT order_key, try_cast(replace(regexp_extract_all({_BARE_REPLY}, '{X.PRICED}', 1)[-1], ',', '') AS DOUBLE) AS price,
+ CASE upper(regexp_extract_all({_BARE_REPLY}, '{X.MONEY_OF}', 1)[-1]) {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in X.SIGNS.items())} ELSE upper(regexp_extract_all({_BARE_REPLY}, '{X.MONEY_OF}', 1)[-1]) END AS currency,
+ try_cast(nullif(regexp_extract(r, '{X.NET_DAYS}', 1), '') AS BIGINT) AS net_days,
+ round_even(try_cast(regexp_extract_all(r, '{X.DURATION}', 1)[-1] AS DOUBLE) * CASE WHEN contains(lower(regexp_extract_all(r, '{X.DURATION}', 2)[-1]), 'week') THEN 7 ELSE 1 END, 0)::BIGINT AS lead_days,
+ {_SENTENCES.format(X.RISK_WORDS)} AS risks, {_SENTENCES.format(X.GREEN_WORDS)} AS green FROM (SELECT o_orderkey AS order_key, {_REPLY} AS r FROM (SELECT *, o_totalprice::DECIMAL(18,2)::VARCHAR AS amount FROM orders))"""
+
+
+def offers_in_replies(t):
+    k, amount = F.col("o_orderkey"), F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+    first = F.concat(F.lit("Our price is £"), amount, F.lit(". Lead time 3 weeks. Net "), (k % 60).cast("string"), F.lit(" days, green steel."))
+    second = F.concat(F.lit("USD 1,250.50 first, then EUR "), amount, F.lit(" with a discount. A delay of 10 business days is a risk! More soon."))
+    reply = F.when(k % 4 == 0, first).when(k % 4 == 1, second).when(k % 4 == 2, "We are unable to quote. Call 12.").otherwise(F.concat(F.lit("Final offer: "), amount, F.lit(", delivery 2.5 days")))
+    r = F.col("r")
+    return t.raw("orders").select(k.alias("order_key"), reply.alias("r")).select(
+        "order_key", X.last_price(r).alias("price"), X.last_currency(r).alias("currency"), X.net_days(r).alias("net_days"), X.lead_days(r).alias("lead_days"),
+        F.array_join(X.sentences_with(r, X.RISK_WORDS), "|").alias("risks"), F.array_join(X.sentences_with(r, X.GREEN_WORDS), "|").alias("green"),
+    )
+
+
+@query(_OFFERS)
+def reply_offers(t):
+    return offers_in_replies(t)
+
+
+@query(f"SELECT min(price) AS price_min, max(price) AS price_max, min(lead_days) AS lead_min, max(lead_days) AS lead_max, max(net_days) AS net_max FROM ({_OFFERS})")
+def offer_bounds(t):
+    return insight.offer_bounds(offers_in_replies(t))
+
+
+@query("SELECT lang, source, doc_id, row_number() OVER (PARTITION BY lang ORDER BY score DESC, doc_id)::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY (place = 1) DESC, score DESC, doc_id) AS k FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY score DESC, doc_id) AS place FROM (SELECT lang, source, doc_id, n_chars + CASE source WHEN 'src3' THEN 0.12 WHEN 'src8' THEN 0.14 ELSE 0.08 END AS score FROM documents WHERE lang IS NOT NULL))) WHERE k <= 8")
+def hits_covering(t):
+    bonus = X.mapped(F.col("source"), {"src3": 0.12, "src8": 0.14}, 0.08)
+    hits = t.raw("documents").where("lang IS NOT NULL").select("lang", "source", "doc_id", (F.col("n_chars") + bonus).alias("score"))
+    return retrieval.covering(hits, ["lang"], "source", "score", "doc_id", 8).select("lang", "source", "doc_id", "rank")
+
+
+
 ORACLE_SQL = {name: (sql.replace("{views}", VIEWS) if sql.startswith("{views}") else VIEWS + sql) for name, sql in SQL.items()}
