@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from tenderloom.plans import more, queries, sql
+from tenderloom.plans import rows as _rows  # noqa: F401  registers its queries in `more`
+from tenderloom.plans import texts as _texts  # noqa: F401  likewise
 
 QUERIES = queries.QUERIES | more.QUERIES
-ORACLE_SQL = sql.ORACLE_SQL | more.ORACLE_SQL
+ORACLE_SQL = sql.ORACLE_SQL | {name: more.with_views(text) for name, text in more.SQL.items()}

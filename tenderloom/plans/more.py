@@ -399,5 +399,5 @@ def hits_covering(t):
     return retrieval.covering(hits, ["lang"], "source", "score", "doc_id", 8).select("lang", "source", "doc_id", "rank")
 
 
-
-ORACLE_SQL = {name: (sql.replace("{views}", VIEWS) if sql.startswith("{views}") else VIEWS + sql) for name, sql in SQL.items()}
+def with_views(sql: str) -> str:
+    return sql.replace("{views}", VIEWS) if sql.startswith("{views}") else VIEWS + sql
