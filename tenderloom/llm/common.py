@@ -157,10 +157,10 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     return mix((total[ends] - total[starts]) * powers(_UNBASE, n + 1)[starts] + (ends - starts).astype(np.uint64))
 
 
-def words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(offsets: np.ndarray, data: np.ndarray, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words in data, and for each text the first word's
-    number (n + 1 entries). offsets begin at 0."""
-    inner = ~SPACE[data]
+    number (n + 1 entries). offsets begin at 0; apart: which bytes are in no word."""
+    inner = ~apart[data]
     before = np.zeros(len(data) + 1, bool)
     before[1:] = inner
     before[offsets[:-1]] = False  # a text begins here
