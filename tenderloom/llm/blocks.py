@@ -156,7 +156,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None,
     returns the folder.
 
     A range shuffle by doc_id makes the shards (a hash of the text splits repeated
-    keys, and only such numbers are sampled for the ranges); each task sorts,
+    keys, a row number equal rows, and only such numbers are sampled for the
+    ranges); each task sorts,
     encodes and packs its own, so the ids are made once and move nowhere. A null
     doc_id comes first; rows of one doc_id are in order of that hash. An empty
     table makes no chunk.
@@ -187,7 +188,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None,
             yield row()
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("h")).repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("row"))
+    ordered = keyed.repartitionByRange(parts, "doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "text").drop("h", "row")
     ordered.mapInArrow(run, CHUNK_SCHEMA).write.parquet(path)
     return path
 

@@ -28,7 +28,8 @@ suffix at an anchor travels once for all windows that share it.)
 
 The text is shuffled once, compressed, by document; the plan uses that exchange
 again. Documents are told apart by doc_id and 64 bits of the text, so a repeated
-doc_id does no harm.
+doc_id does no harm. Rows that are equal in both are counted first: every window
+of theirs is repeated, and one of them stands for all in the trees.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenderloom.llm.common import cut, hashed_words, mix, powers, steps, text_buffers
+from tenderloom.llm.common import cut, hashed_words, mix, powers, small, steps, text_buffers
 
 WINDOW = 35
 ANCHOR = 18
@@ -51,6 +52,8 @@ ANCHOR = 18
 GROUP = 2000
 #: Repeated windows at hot anchors that are broadcast at most, 16 bytes each.
 BROADCAST_ROWS = 1 << 20
+#: In place of starts: every window of the text is repeated.
+_EVERY = pa.array([-1], pa.int32())
 _BASES = (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25)
 
 
@@ -302,12 +305,20 @@ def _joined_windows(marked: DataFrame, nodes: DataFrame, window: int, anchor: in
     return rows.join(nodes, ["one", "two"]).select("did", "th", F.array("start").alias("starts"))
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """docs keyed (did, th, packed, doc_id), and did, th, starts: the first words
-    of the repeated windows, at least once each."""
+def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """docs keyed (did, th, packed, doc_id) without equal rows; did, th, starts:
+    the first words of the repeated windows, at least once each; and the equal
+    rows (did, th, text, doc_id), None without any."""
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")).alias("did"), F.xxhash64(text).alias("th"), F.col(text).alias("text"), "doc_id")
-    packed = _pack(keyed)
-    anchors = _anchors(keyed.select("did", "th", "text"), window, anchor)
+    again = cut(keyed.groupBy("did", "th").count().where("count > 1").select("did", "th"), "repeat-rows")
+    if again.isEmpty():
+        equal, single, one_each = None, keyed, keyed
+    else:
+        told = small(again)
+        equal, single = keyed.join(told, ["did", "th"], "left_semi"), keyed.join(told, ["did", "th"], "left_anti")
+        one_each = single.unionByName(equal.dropDuplicates(["did", "th"]))  # combined in each task before the shuffle
+    packed = _pack(one_each)
+    anchors = _anchors(one_each.select("did", "th", "text"), window, anchor)
     # Written before it is joined back, so that a very common anchor is a skewed join and no group.
     counted = cut(anchors.groupBy("m").count().where("count > 1").select("m", (F.col("count") > GROUP).alias("is_hot")), "repeat-prefixes")
     found = anchors.join(counted, "m").groupBy("did", "th")
@@ -315,14 +326,14 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     marked = packed.join(found, ["did", "th"])
     cold = _repeated_in_groups(_suffixes(marked, window, anchor), window)
     hot = _hot_windows(marked, window, anchor)
-    return packed, cold if hot is None else cold.union(hot)
+    return packed if equal is None else _pack(single), cold if hot is None else cold.union(hot), equal
 
 
 def maximal_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, text: str = "text") -> DataFrame:
     """doc_id, start, n_words: the passages of each document of which every window
     is repeated and that no neighbouring word prolongs. Rows as in drop_repeats;
     a document without any has no row."""
-    packed, found = repeated_windows(docs, window, anchor, text)
+    packed, found, equal = repeated_windows(docs, window, anchor, text)
     gathered = found.groupBy("did", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("starts")))).alias("starts"))
     runs = F.aggregate(
         "starts",
@@ -330,7 +341,11 @@ def maximal_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
         lambda a, s: F.when((F.size(a) > 0) & (F.element_at(a, -1)["last"] + 1 == s), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["start"].alias("start"), s.alias("last"))))).otherwise(F.concat(a, F.array(F.struct(s.alias("start"), s.alias("last"))))),
     )
     rows = packed.select("did", "th", "doc_id").join(gathered.where(F.size("starts") > 0).select("did", "th", runs.alias("runs")), ["did", "th"])
-    return rows.select("doc_id", F.explode("runs").alias("r")).select("doc_id", F.col("r.start").cast("long").alias("start"), (F.col("r.last") - F.col("r.start") + window).cast("long").alias("n_words"))
+    out = rows.select("doc_id", F.explode("runs").alias("r")).select("doc_id", F.col("r.start").cast("long").alias("start"), (F.col("r.last") - F.col("r.start") + window).cast("long").alias("n_words"))
+    if equal is None:
+        return out
+    whole = equal.select("doc_id", F.size(F.filter(F.split("text", "[ \\t-\\r]+"), lambda w: w != "")).cast("long").alias("n_words"))
+    return out.unionByName(whole.where(F.col("n_words") >= window).select("doc_id", F.lit(0).cast("long").alias("start"), "n_words"))
 
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, text: str = "text") -> DataFrame:
@@ -342,7 +357,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, te
     like any other. Repeated rows are each other's copies. Other columns are not
     looked at; an empty table gives an empty result.
     """
-    packed, found = repeated_windows(docs, window, anchor, text)
+    packed, found, equal = repeated_windows(docs, window, anchor, text)
     gathered = found.groupBy("did", "th").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,7 +366,9 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, te
             for raw, starts in zip(_texts(b.column(1)).to_pylist(), b.column(2), strict=True):
                 own = (raw or b"").split()
                 total.append(len(own))
-                if starts.is_valid:
+                if starts.is_valid and starts.values.equals(_EVERY):
+                    own = own if len(own) < window else []
+                elif starts.is_valid:
                     edge = np.zeros(len(own) + 1, np.int64)
                     at = np.unique(starts.values.to_numpy())
                     edge[at] += 1
@@ -366,4 +383,6 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, te
             )
 
     rows = packed.join(gathered, ["did", "th"], "left").select("doc_id", "packed", "starts")
+    if equal is not None:
+        rows = rows.union(_pack(equal).select("doc_id", "packed", F.array(F.lit(-1))))
     return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
