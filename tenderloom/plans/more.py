@@ -400,4 +400,5 @@ def hits_covering(t):
 
 
 def with_views(sql: str) -> str:
-    return sql.replace("{views}", VIEWS) if sql.startswith("{views}") else VIEWS + sql
+    """{views} stands for the common tables that a text goes on from, {recursive} for the same where it has recursive ones."""
+    return sql.replace("{views}", VIEWS).replace("{recursive}", VIEWS.replace("WITH", "WITH RECURSIVE", 1)) if sql.startswith(("{views}", "{recursive}")) else VIEWS + sql
