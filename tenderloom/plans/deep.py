@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tenderloom.operators import passages, threads
+from tenderloom.operators import labels, passages, threads
 from tenderloom.plans.more import query
 
 #: Dispatches and responses out of the events: a user is a workflow of one of two.
@@ -95,3 +95,39 @@ SELECT doc_id, line::INTEGER AS line, kind, (count(*) FILTER (kind IN ('title',
 def lines_by_kind(t):
     pages = t.raw("pages").select(F.col("page_id").alias("doc_id"), F.regexp_replace("html", "<[^>]*>", "\n").alias("text"))
     return passages.line_kinds(pages.unionByName(t.raw("documents").select((-1 - F.col("doc_id")).alias("doc_id"), "text")), "doc_id")
+
+
+@query(
+    """{views},
+n AS (SELECT p_partkey AS k, lower(p_name) AS s, string_split(lower(p_name), ' ') AS ws FROM part),
+f AS (SELECT s, min(k) AS target FROM n GROUP BY 1)
+SELECT k, target, round(CASE WHEN k % 4 IN (0, 2) THEN 1.0::DOUBLE WHEN k % 4 = 1 THEN 2.0::DOUBLE * (length(s) - 1) / (2 * length(s) - 1) ELSE 2.0::DOUBLE * length(s) / (2 * length(s) + 1) END, 9) AS score FROM n JOIN f USING (s) WHERE k % 5 > 0"""
+)
+def labels_closest(t):
+    """Names of parts with a letter lost or added, in capitals or with their words turned round, find their part."""
+    part = t.raw("part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("s"))
+    turned = F.array_join(F.reverse(F.split("s", " ")), "  ")
+    label = F.when(F.col("k") % 4 == 0, F.upper("s")).when(F.col("k") % 4 == 1, F.concat(F.substring("s", 1, 2), F.expr("substring(s, 4)"))).when(F.col("k") % 4 == 2, turned).otherwise(F.concat("s", F.lit("x")))
+    asked = part.where("k % 5 > 0").select("k", label.alias("label"))
+    found = labels.closest(asked.select("label"), part.select(F.col("s").alias("term"), F.col("k").alias("target")))
+    return asked.join(found, "label").select("k", "target", F.round("score", 9).alias("score"))
+
+
+#: Columns and the labels that mean them, as a table of synonyms has them.
+_TERMS = [("invoice number", "invoice_id"), ("invoice no", "invoice_id"), ("invoice date", "invoice_date"), ("due date", "due_date"), ("total amount", "total"), ("supplier name", "supplier"), ("payment terms", "terms")]
+
+
+@query(
+    """{views},
+o AS (SELECT o_orderkey AS record, o_orderkey % 4 AS m, CASE WHEN o_orderkey % 3 = 0 THEN 'Invoice Numbers' ELSE 'INVOICE NO.' END AS first FROM orders),
+l AS (SELECT record, unnest([1, 2, 3, 4, 5]) AS position, unnest([first, CASE WHEN m = 0 THEN 'Invoce Date' ELSE 'date: invoice' END, 'Invoice Dates', CASE m WHEN 1 THEN 'Suplier name' WHEN 2 THEN 'Remarks' ELSE 'Total Amout' END, 'Payment-Terms']) AS label, unnest(['invoice_id', 'invoice_date', NULL, CASE m WHEN 1 THEN 'supplier' WHEN 2 THEN NULL ELSE 'total' END, 'terms']) AS target FROM o)
+SELECT record, position, label, target FROM l"""
+)
+def labels_assigned(t):
+    """Labels of each order's document with slips of the pen; the second label for a date finds its column taken."""
+    k = F.col("o_orderkey")
+    m = k % 4
+    names = [F.when(k % 3 == 0, "Invoice Numbers").otherwise("INVOICE NO."), F.when(m == 0, "Invoce Date").otherwise("date: invoice"), F.lit("Invoice Dates"), F.when(m == 1, "Suplier name").when(m == 2, "Remarks").otherwise("Total Amout"), F.lit("Payment-Terms")]
+    records = t.raw("orders").select(k.alias("record"), F.posexplode(F.array(*names)).alias("p", "label")).select("record", (F.col("p") + 1).alias("position"), "label")
+    terms = t.spark.createDataFrame(_TERMS, "term string, target string")
+    return labels.assigned(records, terms).select("record", "position", "label", "target")
