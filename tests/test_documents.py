@@ -51,3 +51,22 @@ def test_gate_without_fields(spark):
     rows = spark.createDataFrame([(1, "x"), (2, None)], "k int, number string")
     got = extraction.gate(rows, ["number"], F.array().cast("array<double>"), F.lit(0)).select("k", "document_confidence", "passed").orderBy("k").collect()
     assert [tuple(x) for x in got] == [(1, 0.0, False), (2, 0.0, False)]
+
+
+def test_fields_in_texts_written_by_hand(spark):
+    texts = {
+        "Our invoice-no. 2024/0815 of 3rd March, 2024; purchase order ref: PO-77120\nNet amount: 1,250.00\nVAT (19 %) €237.50\nAmount due € 1,487.50\nterms: 45 days net": ("2024/0815", "77120", "€ 1,487.50", "1,250.00", "€237.50", "45"),
+        "BILL NUM B-99\nTotal payable 12\npayable upon receipt": ("B-99", None, "12", None, None, "0"),
+        "Invoices are paid net 60, the bill of 12 May is not.": (None, None, None, None, None, "60"),
+        "We invented taxes; orders go on. Totally fine.": (None, None, None, None, None, None),
+    }
+    r = F.col("r")
+    rows = spark.createDataFrame([(t,) for t in texts], "r string")
+    got = rows.select("r", D.invoice_number(r), D.order_number(r), D.total_of(r), D.subtotal_of(r), D.tax_of(r), D.terms_of(r)).collect()
+    assert {x[0]: tuple(x)[1:] for x in got} == texts
+
+
+def test_lines_by_their_last_words(spark):
+    text = "Hex  bolt\tM8 12 £0.50 £6.00\nno 1 2\n5 1.00 5.00\nGrand total 1 £6.00 £6.00\nNut 1 2 three"
+    got = extraction.line_items(spark.createDataFrame([(1, text)], "k int, r string"), "k", "r").collect()
+    assert [(x.item, x.quantity, x.unit_price, x.amount) for x in got] == [("Hex bolt M8", "12", "£0.50", "£6.00")]
