@@ -23,9 +23,9 @@ texts stay.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -151,7 +151,7 @@ class Model:
     contexts2: np.ndarray
     weights2: np.ndarray
     probs2: np.ndarray  # dense, 2**16
-    tops: list[Top]
+    tops: list[Top | Callable[[], Top]]  # slices, or what makes them
     worst: np.ndarray | None = None  # rejected beyond, for each language
     sharpness: float = 1.0
 
@@ -179,6 +179,7 @@ class Model:
             code, doc, letters[i:j] = codes(texts[i:j])
             n[i:j] = np.bincount(doc, minlength=j - i)[: j - i]
             for top in self.tops:
+                top = top if isinstance(top, Top) else top()
                 inside = (code >= top.low) & (code < top.high)
                 own = doc if inside.all() else doc[inside]
                 logs = self.log(code if own is doc else code[inside], top)
@@ -330,7 +331,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", calibration_r
     else:
         thirds = counted.groupBy("lang", F.col("code").bitwiseAND((1 << 24) - 1).alias("code")).agg(F.count("*").alias("n")).orderBy("code")
         model, own = _lower_orders(_numbered(thirds, langs))
-        model.tops = [_top(model, own, _numbered(counted.where((F.col("code") >= low) & (F.col("code") < high)), langs), low, high) for low, high in ranges]
+        base = replace(model)
+        part = lambda low, high: _top(base, own, _numbered(counted.where((F.col("code") >= low) & (F.col("code") < high)), langs), low, high)
+        model.tops = [partial(part, low, high) for low, high in ranges]  # made anew for each pass: one is there at once
     if not langs:
         return model
     sizes = {r.l: r["count"] for r in docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang).cast("string").alias("l")).count().collect()}
@@ -354,14 +357,14 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", calibration_r
 
 def _sums(texts: DataFrame, model: Model) -> DataFrame:
     """texts (t, and more) without t, with sums, n and letters: the negative
-    log-probabilities in every language. A pass for each slice of the model; the
-    sums of several are added by the other columns."""
+    log-probabilities in every language. A pass for each slice of the model, which
+    is made for it and dropped after it; the sums of several are added by the other
+    columns."""
     other = [c for c in texts.columns if c != "t"]
     fields = [texts.schema[c] for c in other]
     schema = T.StructType(fields + list(T._parse_datatype_string("sums array<double>, n long, letters long")))
 
-    def one(part: Model) -> DataFrame:
-        told = texts.sparkSession.sparkContext.broadcast(part)
+    def scored(told) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -370,9 +373,14 @@ def _sums(texts: DataFrame, model: Model) -> DataFrame:
 
         return texts.select("t", *other).mapInArrow(run, schema)
 
+    sent = texts.sparkSession.sparkContext.broadcast
     if len(model.tops) <= 1:
-        return one(model)
-    parts = [cut(one(replace(model, tops=[top])).dropDuplicates(other), "language-sums") for top in model.tops]
+        return scored(sent(model))
+    parts = []
+    for make in model.tops:
+        told = sent(replace(model, tops=[make()]))
+        parts.append(cut(scored(told).dropDuplicates(other), "language-sums"))
+        told.destroy()
     added = [F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(len(model.langs))]
     whole = reduce(DataFrame.unionByName, parts).groupBy(*other).agg(*added, F.max("n").alias("n"), F.max("letters").alias("letters"))
     return whole.select(*other, F.array(*[f"s{k}" for k in range(len(model.langs))]).alias("sums"), "n", "letters")
