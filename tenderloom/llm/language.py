@@ -314,6 +314,11 @@ def _ranges(counted: DataFrame, most: int) -> list[tuple[int, int]]:
     return [*out, (low, 1 << 32)]
 
 
+def _slice(model: Model, own: dict[str, tuple[np.ndarray, np.ndarray]], counted: DataFrame, low: int, high: int) -> Top:
+    """The slice between low and high, from the table of counts."""
+    return _top(model, own, _numbered(counted.where((F.col("code") >= low) & (F.col("code") < high)), model.langs), low, high)
+
+
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", calibration_rows: int = CALIBRATION_ROWS, cells: int = CELLS) -> Model:
     """The models of all languages in docs[lang] (null: not used).
 
@@ -331,9 +336,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", calibration_r
     else:
         thirds = counted.groupBy("lang", F.col("code").bitwiseAND((1 << 24) - 1).alias("code")).agg(F.count("*").alias("n")).orderBy("code")
         model, own = _lower_orders(_numbered(thirds, langs))
-        base = replace(model)
-        part = lambda low, high: _top(base, own, _numbered(counted.where((F.col("code") >= low) & (F.col("code") < high)), langs), low, high)
-        model.tops = [partial(part, low, high) for low, high in ranges]  # made anew for each pass: one is there at once
+        model.tops = [partial(_slice, replace(model), own, counted, low, high) for low, high in ranges]  # made anew for each pass: one is there at once
     if not langs:
         return model
     sizes = {r.l: r["count"] for r in docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang).cast("string").alias("l")).count().collect()}
