@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tenderloom.operators import chunking, retrieval
+from tenderloom.operators import chunking, reports, retrieval
 from tenderloom.plans.more import query
 
 _CUT = "string_split(regexp_replace({}, '([.!?])[ \\t-\\r]+', '\\1' || chr(2) || chr(3), 'g'), chr(2) || chr(3))"
@@ -52,3 +52,41 @@ def contexts_of_passages(t):
     hits = retrieval.bm25(passages, bench, 30).join(passages, "doc_id")
     out = chunking.packed_context(hits.withColumn("document", F.floor(F.col("doc_id") / 100000)), "document", "text")
     return out.select("query_id", "place", "rank", "document", "n_chars", F.md5("block").alias("block_md5"))
+
+
+@query(
+    """{views},
+o AS (SELECT o_orderkey AS k, o_orderkey % 4 AS m, o_orderkey // 4 AS j FROM orders),
+f AS (SELECT k, m, list_concat(CASE WHEN k % 5 = 0 THEN ['missing:' || ['invoice_id', 'po_id', 'quote_id', 'contract_id'][m + 1]] ELSE [] END,
+  CASE WHEN m = 0 AND k % 7 = 0 AND k % 11 > 0 THEN ['buyer'] ELSE [] END, CASE WHEN k % 13 = 0 AND m <> 2 THEN ['dates:' || CASE m WHEN 0 THEN 'due_date' WHEN 1 THEN 'expected_delivery_date' ELSE 'contract_end_date' END] ELSE [] END) AS e,
+  list_concat(CASE WHEN m = 0 AND k % 3 = 0 THEN ['vendor'] ELSE [] END, CASE WHEN j % 3 = 2 THEN ['line:2', 'line:3'] ELSE [] END, CASE WHEN j % 3 = 0 AND m < 3 THEN ['no_lines'] ELSE [] END, CASE WHEN m = 0 AND j % 2 = 1 THEN ['order'] ELSE [] END, CASE WHEN k % 17 = 0 THEN ['sign'] ELSE [] END) AS w FROM o)
+SELECT k, (100 - list_sum(list_concat([0], list_transform(list_concat(e, w), lambda x: CASE split_part(x, ':', 1) WHEN 'missing' THEN 15 WHEN 'buyer' THEN 20 WHEN 'line' THEN 2 WHEN 'order' THEN 5 WHEN 'sign' THEN 5 ELSE 10 END)))) / 100.0::DOUBLE AS score, len(e) = 0 AS valid, array_to_string(e, ',') AS errors, array_to_string(w, ',') AS warnings FROM f"""
+)
+def reports_on_documents(t):
+    """Headers, lines and texts of each order's document, some of them at odds."""
+    k = F.col("o_orderkey")
+    m, j = k % 4, F.floor(k / 4)
+    pick = lambda *values: F.element_at(F.array(*map(F.lit, values)), (m + 1).cast("int"))
+    day = F.col("o_orderdate")
+    later = F.date_add(day, F.when(k % 13 == 0, -3).otherwise(30))
+    fields = [
+        (pick("invoice_id", "po_id", "quote_id", "contract_id"), F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("N"), k))),
+        (pick("invoice_date", "order_date", "quote_date", "contract_start_date"), F.date_format(day, "dd/MM/yyyy")),
+        (pick("due_date", "expected_delivery_date", "validity_date", "contract_end_date"), F.date_format(later, "yyyy-MM-dd")),
+        (pick("invoice_total_incl_tax", "total_amount", "total_amount", "total"), F.col("o_totalprice").cast("string")),
+        (F.lit("vendor_name"), F.lit("Acme Trading")),
+        (F.lit("supplier_id"), F.lit("S1")),
+        (F.lit("buyer_id"), F.concat(F.lit("Buyer "), F.col("o_custkey"))),
+        (F.lit("currency"), F.when(k % 2 == 0, "GBP").otherwise("EUR")),
+        (pick("po_id", "other", "other", "other"), F.concat(F.when(j % 2 == 1, "none ").otherwise(""), k)),
+    ]
+    line = lambda s: F.struct(F.lit(s).cast("string").alias("item_description"))
+    lines = F.when(j % 3 == 1, F.array(line("bolts"))).when(j % 3 == 2, F.array(line("bolts"), line(None), line(""))).otherwise(F.array().cast("array<struct<item_description:string>>"))
+    text = F.concat(
+        F.when(k % 3 == 0, "Other Company").otherwise("ACME TRADING Ltd"),
+        F.when(k % 11 == 0, "\n").otherwise(F.concat(F.lit("\nBill  To :\n"), F.when(k % 7 == 0, "somebody else").otherwise(F.concat(F.lit("BUYER "), F.col("o_custkey"))), F.lit("\n"))),
+        F.when(k % 17 == 0, "100.00").otherwise(F.when(k % 2 == 0, "£100.00").otherwise("100.00 €")),
+    )
+    docs = t.raw("orders").select(k.alias("k"), pick("Invoice", "Purchase_Order", "Quote", "Contract").alias("doc_type"), F.map_from_arrays(F.array(*[name for name, _ in fields]), F.array(*[value for _, value in fields])).alias("header"), lines.alias("lines"), text.alias("text"))
+    out = reports.quality_report(docs, t.raw("orders").select(F.col("o_orderkey").alias("po_id")))
+    return out.select("k", "score", "valid", F.array_join("errors", ",").alias("errors"), F.array_join("warnings", ",").alias("warnings"))

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tenderloom.operators import chunking, retrieval
+from tenderloom.operators import chunking, reports, retrieval
 
 
 def test_passage_chunks(spark):
@@ -92,3 +92,21 @@ def test_dense_of_nothing(spark):
     assert retrieval.dense(v.limit(0), q, 3).count() == 0 and retrieval.dense(v, q.limit(0), 3).count() == 0
     plan = retrieval.dense(v, q, 3)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Cross" not in plan
+
+
+def test_report_on_edges(spark):
+    schema = "id long, doc_type string, header map<string,string>, lines array<struct<item_description:string>>, text string, score string"
+    full = {"invoice_id": "1", "invoice_date": "2024-02-01", "vendor_name": "V", "buyer_id": "B", "invoice_total_incl_tax": "5"}
+    rows = [
+        (1, "Invoice", full, [("a",)], "V\nInvoice To B", "x"),
+        (2, "Invoice", None, None, None, None),
+        (3, None, full, [], "", None),
+        (4, "Contract", {"contract_id": "c", "contract_start_date": "soon", "contract_end_date": "2020-01-01", "supplier_id": "s"}, None, None, None),
+        (5, "Invoice", full | {"due_date": "01/01/2024", "po_id": "p"}, [("a",)] * 2 + [("",)], "bill to somebody; v", None),
+        (6, "Invoice", full | {"po_id": "q", "currency": "XYZ"}, [("a",)], "v, no label of a recipient", None),
+    ]
+    out = {r.id: (r.score, r.valid, r.errors, r.warnings) for r in reports.quality_report(spark.createDataFrame(rows, schema), spark.createDataFrame([("q",), ("q",), (None,)], "po_id string")).collect()}
+    assert out[1] == (1.0, True, [], []) and out[3] == (1.0, True, [], []) and out[4] == (1.0, True, [], []) and out[6] == (1.0, True, [], [])
+    assert out[2] == (0.15, False, ["missing:" + f for f in full], ["no_lines"])
+    # "bill to somebody" holds the letter of buyer B, the dates are turned round, order p is unknown.
+    assert out[5] == (0.83, False, ["dates:due_date"], ["line:3", "order"]) and len(out) == 6
