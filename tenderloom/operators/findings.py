@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tenderloom.functions.columns import finding_key, total
+from tenderloom.operators.fits import priorities  # noqa: F401  its place for callers
 
 
 def together(findings: list[DataFrame]) -> DataFrame:
@@ -60,22 +61,3 @@ def with_feedback(findings: DataFrame, feedback: DataFrame) -> DataFrame:
     """findings with the latest feedback (ref_id, status, at) and `rejected`."""
     latest = feedback.groupBy("ref_id").agg(F.max_by("status", F.struct("at", "status")).alias("feedback"))
     return findings.join(latest, "ref_id", "left").withColumn("rejected", F.coalesce(F.lower("feedback") == "rejected", F.lit(False)))
-
-
-def priorities(impacts: DataFrame, k: int = 3, rounds: int = 10) -> DataFrame:
-    """score of each distinct impact by one-dimensional k-means that starts at
-    the minimum, the quantiles and the maximum: 0 for the lowest cluster, 1 for
-    the highest. Every round is one aggregate; k centres go to the driver."""
-    values = impacts.select("impact").where("impact is not null")
-    at = values.select(F.percentile("impact", F.array(*[F.lit(i / (k - 1)) for i in range(k)])).alias("q")).first()["q"]
-    if not at:
-        return impacts.withColumn("score", F.lit(1.0))
-    centres = sorted(set(at))
-    nearest = lambda c: F.array_position(F.array(*[F.abs(F.col("impact") - x) for x in c]), F.array_min(F.array(*[F.abs(F.col("impact") - x) for x in c])))
-    for _ in range(rounds):
-        moved = [r.m for r in values.groupBy(nearest(centres).alias("c")).agg(F.avg("impact").alias("m")).orderBy("m").collect()]
-        if moved == centres:
-            break
-        centres = moved
-    score = (nearest(centres) - 1) / (len(centres) - 1) if len(centres) > 1 else F.lit(1.0)
-    return impacts.withColumn("score", score.cast("double"))

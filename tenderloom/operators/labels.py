@@ -95,6 +95,22 @@ def closest(labels: DataFrame, terms: DataFrame, least: float = LEAST) -> DataFr
     return best.select("label", F.col("b.target").alias("target"), (-F.col("b.s")).alias("score"))
 
 
+def taken_once(records: DataFrame, found: DataFrame) -> DataFrame:
+    """record, position, target, score of the labels of a record (record, position,
+    label) that get one: in order of position each takes its best target (found: label,
+    target, score, and place, which ties go by) that no earlier one has taken."""
+    rows = records.join(found, "label", "left").select("record", F.struct("position", (-F.col("score")).alias("s"), "place", "target").alias("x"))
+    g = rows.groupBy("record").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+
+    def step(taken: Column, x: Column) -> Column:
+        free = x["target"].isNotNull() & ~F.exists(taken, lambda y: (y["position"] == x["position"]) | (y["target"] == x["target"]))
+        return F.when(free, F.concat(taken, F.array(x))).otherwise(taken)
+
+    kind = g.schema["xs"].dataType.simpleString()
+    chosen = g.select("record", F.explode(F.aggregate("xs", F.array().cast(kind), step)).alias("x"))
+    return chosen.select("record", "x.position", F.col("x.target").alias("target"), (-F.col("x.s")).alias("score"))
+
+
 def assigned(records: DataFrame, terms: DataFrame, least: float = LEAST) -> DataFrame:
     """record, position, label, target, score: the labels of a record, in order of
     position, each with the best target that no earlier one has taken (ties: the
@@ -104,14 +120,5 @@ def assigned(records: DataFrame, terms: DataFrame, least: float = LEAST) -> Data
     matched once; a record gathers its labels' targets, as many as both allow.
     """
     found = alike(records.select("label").distinct(), terms, least).join(terms.select("term", "target"), "term").groupBy("label", "target").agg(F.max("score").alias("score"))
-    rows = records.join(found, "label", "left").select("record", F.struct("position", (-F.col("score")).alias("s"), "target", "label").alias("x"))
-    g = rows.groupBy("record").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-
-    def step(taken: Column, x: Column) -> Column:
-        free = x["target"].isNotNull() & ~F.exists(taken, lambda y: (y["position"] == x["position"]) | (y["target"] == x["target"]))
-        return F.when(free, F.concat(taken, F.array(x))).otherwise(taken)
-
-    kind = g.schema["xs"].dataType.simpleString()
-    chosen = g.select("record", F.explode(F.aggregate("xs", F.array().cast(kind), step)).alias("x"))
-    chosen = chosen.select("record", "x.position", F.col("x.target").alias("target"), (-F.col("x.s")).alias("score"))
+    chosen = taken_once(records, found.withColumn("place", F.col("target")))
     return records.select("record", "position", "label").distinct().join(chosen, ["record", "position"], "left")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tenderloom.functions.columns import total
+from tenderloom.operators.fits import learned_weights  # noqa: F401  its place for callers
 
 
 def order_summary(lines: DataFrame, orders: DataFrame) -> DataFrame:
@@ -51,21 +52,3 @@ def category_profile(lines: DataFrame, products: DataFrame, n: int = 5) -> DataF
     rank = F.row_number().over(Window.partitionBy("supplier_id").orderBy(F.desc("count"), "product"))
     top = prod.withColumn("k", rank).where(F.col("k") <= n).groupBy("supplier_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "product"))), lambda x: x["product"]), ",").alias("top_products"))
     return cat.join(top, "supplier_id").select("supplier_id", F.col("b.category").alias("primary_category"), "n_categories", "top_products")
-
-
-def learned_weights(df: DataFrame, features: list[str], label: str, rounds: int = 100, rate: float = 0.05) -> dict[str, float]:
-    """Shares of the absolute weights of a logistic regression by full-batch
-    gradient descent; a round is one aggregate and a handful of numbers on the
-    driver. Fewer than 6 complete rows or one class: equal shares."""
-    rows = df.select(*features, F.col(label).cast("double").alias("_y")).na.drop()
-    seen = rows.agg(F.count("*").alias("n"), F.countDistinct("_y").alias("k")).first()
-    if seen.n < 6 or seen.k < 2:
-        return {f: 1 / len(features) for f in features}
-    w, b = [0.0] * len(features), 0.0
-    for _ in range(rounds):
-        z = sum((F.col(f) * x for f, x in zip(features, w, strict=True)), F.lit(b))
-        error = 1 / (1 + F.exp(-z)) - F.col("_y")
-        got = rows.agg(*[F.avg(error * F.col(f)).alias(f) for f in features], F.avg(error).alias("_b")).first()
-        w, b = [x - rate * got[f] for f, x in zip(features, w, strict=True)], b - rate * got["_b"]
-    every = sum(map(abs, w)) or 1.0
-    return {f: abs(x) / every for f, x in zip(features, w, strict=True)}

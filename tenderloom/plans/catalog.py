@@ -6,6 +6,7 @@ from tenderloom.plans import more, queries, sql
 from tenderloom.plans import contexts as _contexts  # noqa: F401  registers its queries in `more`
 from tenderloom.plans import deep as _deep  # noqa: F401  registers its queries in `more`
 from tenderloom.plans import rows as _rows  # noqa: F401  registers its queries in `more`
+from tenderloom.plans import structures as _structures  # noqa: F401  likewise
 from tenderloom.plans import texts as _texts  # noqa: F401  likewise
 
 QUERIES = queries.QUERIES | more.QUERIES
