@@ -6,10 +6,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tenderloom.functions.columns import finding_key, total
 from tenderloom.operators.fits import priorities  # noqa: F401  its place for callers
+from tenderloom.operators.retrieval import first_n
 
 
 def together(findings: list[DataFrame]) -> DataFrame:
@@ -33,8 +33,7 @@ def top_of_each(findings: DataFrame, n: int = 2) -> DataFrame:
     """For each detector the n best findings of different suppliers; a finding
     is unique by (ref_id, supplier)."""
     one = findings.groupBy("detector", "supplier_id").agg(F.min(F.struct((-F.col("impact")).alias("i"), "ref_id", "item_id", "category")).alias("b"))
-    rank = F.row_number().over(Window.partitionBy("detector").orderBy("b.i", "supplier_id"))
-    rows = one.withColumn("position", rank).where(F.col("position") <= n)
+    rows = first_n(one, ["detector"], [F.col("b.i"), F.col("supplier_id")], n, "supplier_id").withColumnRenamed("rank", "position")
     return rows.select("detector", "position", "supplier_id", F.col("b.item_id").alias("item_id"), F.col("b.category").alias("category"), (-F.col("b.i")).alias("impact"), F.col("b.ref_id").alias("ref_id"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from tenderloom.functions.columns import rounded, total
 from tenderloom.functions.fields import responsiveness
+from tenderloom.operators.retrieval import first_n
 
 
 def response_stats(rows: DataFrame, key: str, asked: str, answered: str) -> DataFrame:
@@ -43,8 +44,7 @@ def top_values(rows: DataFrame, key: str, value: str, n: int = 5) -> DataFrame:
     """key, mode, top: the most frequent value, and the n most frequent ones, the
     smaller of equal counts first. Counted before the window."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).count()
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("count"), value))
-    best = counts.withColumn("k", rank).where(F.col("k") <= n).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("k", value))).alias("top"))
+    best = first_n(counts, [key], [F.desc("count"), F.col(value)], n, value).withColumnRenamed("rank", "k").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("k", value))).alias("top"))
     return best.select(key, F.col("top")[0][value].alias("mode"), F.col(f"top.{value}").alias("top"))
 
 
@@ -138,8 +138,7 @@ def thread(turns: DataFrame, key: str, order: str, role: str, answer: str) -> Da
 
 def rerank_span(hits: DataFrame, query: str, item: str, score: str, n: int = 12, floor: float = 0.0) -> DataFrame:
     """The n best hits of each query of at least the floor, with their rank."""
-    rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc(score), item))
-    return hits.where(F.col(score) >= floor).withColumn("rank", rank).where(F.col("rank") <= n)
+    return first_n(hits.where(F.col(score) >= floor), [query], [F.desc(score), F.col(item)], n, item)
 
 
 def unfinished(status: DataFrame, key: str, pending: str) -> DataFrame:

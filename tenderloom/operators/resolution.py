@@ -1,7 +1,7 @@
 """Joins that find the supplier of a record, and rows for those that have none.
 
-Names meet through the words that tell companies apart, never all with all: a
-word that very many companies share still only meets the rows that have it.
+Names meet through their rarest words only, so a word that very many companies
+share makes no pairs unless a name has no other.
 """
 
 from __future__ import annotations
@@ -11,6 +11,29 @@ from pyspark.sql import functions as F
 
 from tenderloom.functions.fields import company_key, core_words, spellings
 
+_BETWEEN = "[ \\t\\r\\n\\f,;:.!?()]+"
+
+
+def _rarest_first(side: DataFrame, key: str, words: str, rarity: DataFrame) -> DataFrame:
+    """The rows with their words in `by`, the rarest first."""
+    rows = side.select(key, F.explode(words).alias("word")).join(rarity, "word")
+    order = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("by"))
+    return side.join(order.select(key, F.col("by.word").alias("by")), key)
+
+
+def _candidates(asked: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """name, supplier_id of all pairs that can match: of two sets of words with a
+    Jaccard share of `least` the rarest words meet, all but those they must share and one;
+    of a set that the other holds its rarest word does."""
+    each = asked.select(F.explode("words").alias("word")).union(known.select(F.explode("s_words").alias("word")))
+    rarity = each.groupBy("word").agg(F.count("*").alias("n"))
+    own, other = _rarest_first(asked, "name", "words", rarity), _rarest_first(known.dropDuplicates(["supplier_id", "s_low"]), "_k", "s_words", rarity)
+    some = lambda n: F.explode(F.slice("by", 1, n)).alias("word")
+    prefix = (F.size("by") - F.ceil(least * F.size("by") - 1e-9) + 1).cast("int")
+    all_, one = F.size("by"), F.lit(1)
+    met = [own.select("name", some(a)).join(other.select("_k", some(b)), "word").select("name", "_k") for a, b in ((prefix, prefix), (one, all_), (all_, one))]
+    return met[0].union(met[1]).union(met[2]).distinct()
+
 
 def match_names(names: DataFrame, suppliers: DataFrame, least: float = 0.5) -> DataFrame:
     """names (name) -> name, supplier_id, how: `exact` ignoring case, else
@@ -21,8 +44,8 @@ def match_names(names: DataFrame, suppliers: DataFrame, least: float = 0.5) -> D
     asked = names.select("name").where("name is not null").distinct().select("name", F.lower(F.btrim("name")).alias("low"), company_key(F.col("name")).alias("key"), core_words(F.col("name")).alias("words"))
     known = suppliers.select("supplier_id", F.lower(F.btrim("supplier_name")).alias("s_low"), company_key(F.col("supplier_name")).alias("s_key"), core_words(F.col("supplier_name")).alias("s_words"))
     exact = asked.join(known, F.col("low") == F.col("s_low")).groupBy("name").agg(F.min("supplier_id").alias("exact"))
-    word, s_word = asked.select("*", F.explode("words").alias("word")), known.select("*", F.explode("s_words").alias("word"))
-    pairs = word.join(s_word, "word").select("name", "key", "words", "supplier_id", "s_key", "s_words").distinct()
+    known = known.withColumn("_k", F.struct("supplier_id", "s_low"))
+    pairs = _candidates(asked, known, least).join(asked, "name").join(known.dropDuplicates(["supplier_id", "s_low"]), "_k")
     padded = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
     inside = (F.length("s_key") >= 3) & (F.contains(padded("key"), padded("s_key")) | F.contains(padded("s_key"), padded("key")))
     both, either = F.size(F.array_intersect("words", "s_words")), F.size(F.array_union("words", "s_words"))
@@ -37,11 +60,20 @@ def match_names(names: DataFrame, suppliers: DataFrame, least: float = 0.5) -> D
 
 
 def named_in_texts(texts: DataFrame, suppliers: DataFrame, key: str, text: str) -> DataFrame:
-    """key, supplier_name: the longest one-word name that stands in a text as a
-    word, the first by name of equals; texts without one have no row."""
-    words = texts.select(key, F.explode(F.array_distinct(F.split(F.lower(text), "[ \\t\\r\\n\\f,;:.!?()]+"))).alias("word"))
-    known = suppliers.select(F.lower(F.btrim("supplier_name")).alias("word"), "supplier_name").where("length(word) >= 3")
-    found = words.join(known, "word")
+    """key, supplier_name: the longest name that stands in a text at word bounds, the
+    first by name of equals; texts without one have no row. Runs of as many words as
+    the names have are looked up; punctuation between words counts as a blank."""
+    words = lambda c: F.filter(F.split(F.lower(c), _BETWEEN), lambda w: w != "")
+    known = suppliers.select(words(F.col("supplier_name")).alias("w"), "supplier_name").select(F.array_join("w", " ").alias("run"), F.size("w").alias("n"), "supplier_name").where("length(run) >= 3")
+    lengths = sorted(r.n for r in known.select("n").distinct().collect())  # no more than the longest name's words
+    rows = texts.select(key, words(F.col(text)).alias("w"))
+
+    def runs(n: int) -> Column:
+        starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.lit(n)), " ")))
+
+    every = F.concat(*[runs(n) for n in lengths]) if lengths else F.array().cast("array<string>")
+    found = rows.select(key, F.explode(every).alias("run")).join(known.select("run", "supplier_name"), "run")
     return found.groupBy(key).agg(F.min(F.struct((-F.length("supplier_name")).alias("n"), "supplier_name"))["supplier_name"].alias("supplier_name"))
 
 
@@ -90,8 +122,9 @@ def by_spellings(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
 
 def with_fallback(rows: DataFrame, wanted: Column, order: list, most: int = 100) -> DataFrame:
     """The first `most` rows that are wanted; if there are none, of all."""
-    first = rows.where(wanted).orderBy(*order).limit(most)
-    return rows.orderBy(*order).limit(most) if first.isEmpty() else first
+    marked = rows.withColumn("_wanted", F.coalesce(wanted, F.lit(False)))
+    some = marked.agg(F.coalesce(F.max("_wanted"), F.lit(False)).alias("_some"))  # one row
+    return marked.crossJoin(F.broadcast(some)).where("_wanted or not _some").drop("_wanted", "_some").orderBy(*order).limit(most)
 
 
 def merged(primary: DataFrame, secondary: DataFrame, key: Column) -> DataFrame:

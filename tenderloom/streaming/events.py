@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tenderloom.operators.retrieval import first_n
+
 LATE = "240 minutes"
 
 
@@ -85,8 +87,8 @@ def decayed_risk(signals: DataFrame, as_of: Column, half_life: float = 168.0, ke
 
 
 def latest_signals(signals: DataFrame, n: int = 50, key: str = "user_id") -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.desc("ts"), F.desc("event_id"))
-    return signals.withColumn("position", F.row_number().over(w)).where(F.col("position") <= n)
+    """The n latest signals of each key with their position."""
+    return first_n(signals, [key], [F.desc("ts"), F.desc("event_id")], n, "event_id").withColumnRenamed("rank", "position")
 
 
 def ready_nodes(nodes: DataFrame, links: DataFrame) -> DataFrame:

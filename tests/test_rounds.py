@@ -40,7 +40,7 @@ def test_stream_equals_batch(spark, tmp_path):
     expected = [(f"w{r.randrange(5)}", r.randrange(1, 3), f"u{r.randrange(8)}", r.choice(["s1", "s2", None]), at(r.randrange(200))) for _ in range(60)]
     arrived = [(f"w{r.randrange(5)}", r.randrange(1, 3), f"u{r.randrange(9)}", r.choice(["s3", None]), at(r.randrange(240) + 0.5)) for _ in range(60)]
     rows = rounds.rows_of(spark.createDataFrame(expected, ROWS), spark.createDataFrame(arrived, ROWS))
-    rows = rows.unionByName(rounds.rows_of(spark.createDataFrame([("end", 1, "x", None, at(400))], ROWS), spark.createDataFrame([], ROWS)))
+    rows = rows.unionByName(rounds.rows_of(spark.createDataFrame([("end", 1, "x", None, at(400)), ("full", 1, "x", "s", at(10))], ROWS), spark.createDataFrame([("full", 1, "x", None, at(200))], ROWS)))
     want = _told(rounds.states(rows, F.lit(at(400)).cast("timestamp")).collect())
     latest = {}
     for i, (low, high) in enumerate([(0, 60), (60, 150), (150, 260), (260, 500)]):
