@@ -20,10 +20,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str):
+def query(sql: str | None):
+    """Registers a query and its SQL; None where SQL has no such function."""
+
     def keep(f: Callable[[Tables], DataFrame]):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        SQL[f.__name__] = sql
+        if sql is not None:
+            SQL[f.__name__] = sql
         return f
 
     return keep

@@ -7,11 +7,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tenderloom.functions import columns as C
-from tenderloom.operators import extraction, fits, insight, ranking, structured
+from tenderloom.functions import questions as Q
+from tenderloom.operators import extraction, fits, insight, ranking, resolution, retrieval, structured
 from tenderloom.plans.more import query
 from tenderloom.plans.queries import all_findings
 from tenderloom.plans.sql import money
 from tenderloom.plans.texts import filled
+from tenderloom.sources.shared import written
 from tenderloom.streaming import rounds
 
 _CELLS = [
@@ -131,3 +133,55 @@ def round_states(t):
     out = rounds.states(rows, F.lit(e.agg(F.max("ts").alias("as_of")).first().as_of))  # one time
     text = lambda c: F.array_join(c, ",").alias(c)
     return out.select("workflow_id", "round", "status", "n_expected", "n_completed", text("pending"), text("failed"), text("suppliers"), F.unix_micros("last_response").alias("last_response"))
+
+
+@query("SELECT k, arg_min(name, (-length(name), name)) AS name FROM (SELECT p_partkey AS k, ' we bought ' || p_name || ' of york ' AS t FROM part) JOIN (SELECT DISTINCT array_to_string(string_split(p_name, ' ')[1:n], ' ') AS name FROM part, (VALUES (1), (2), (9)) v(n)) ON contains(t, ' ' || name || ' ') GROUP BY 1")
+def long_names_in_texts(t):
+    """Names of one to all words of a part's, looked up in sentences about parts with other punctuation."""
+    part = t.raw("part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("p"))
+    cut = lambda n: F.array_join(F.slice(F.split("p", " "), 1, n), " ")
+    names = part.select(F.explode(F.array(cut(1), cut(2), F.col("p"))).alias("supplier_name")).distinct()
+    texts = part.select("k", F.concat(F.lit("We bought: "), F.upper(F.replace("p", F.lit(" "), F.lit(", "))), F.lit(" of York.")).alias("text"))
+    return resolution.named_in_texts(texts, names, "k", "text").select("k", F.col("supplier_name").alias("name"))
+
+
+_QUESTIONS = ["Where is  PO-1|k|00 and its invoice?", "what is our policy on PAYMENT terms\nand escalation for lead time", "Quotation or agreement |k|", "post of po", " ", None, "po 12 or po12|k|"]
+
+
+@query(
+    """SELECT o_orderkey AS order_key, replace(q, '|k|', o_orderkey::VARCHAR) AS question, sources, focus FROM orders JOIN (VALUES
+(0, 'Where is purchase order 1|k|00 and its invoice?', 'Invoice,PO', 'invoice,po,purchase order'), (1, 'what is our policy on PAYMENT terms and escalation for lead time delivery time discount period escalation clause net terms turnaround', 'Policy', 'policy'),
+(2, 'Quotation or agreement |k|', 'Contract,Quote', 'agreement,contract,quotation,quote'), (3, 'post of po', 'PO', 'po,purchase order'), (4, '', '', ''), (5, '', '', ''), (6, 'po 12 or purchase order 12|k|', 'PO', 'po,purchase order')) v(form, q, sources, focus) ON o_orderkey % 7 = form"""
+)
+def questions_rewritten(t):
+    k = F.col("o_orderkey")
+    rows = t.raw("orders").select(k.alias("order_key"), filled(_QUESTIONS, {"k": k}).alias("q"))
+    q = F.col("q")
+    return rows.select("order_key", Q.rewritten(q).alias("question"), F.array_join(Q.sources_of(q), ",").alias("sources"), F.array_join(Q.focus_of(q), ",").alias("focus"))
+
+
+_BONUS = {"collection": {"c": 0.12, "uploaded_documents": 0.08, "static_policy": 0.14}, "document_type": {"policy": 0.1}}
+
+
+@query(
+    """SELECT o_orderkey AS order_key, bonus FROM orders JOIN (VALUES
+(0, 0.12::DOUBLE), (1, 0.13::DOUBLE), (2, 0.24::DOUBLE), (3, 0.34::DOUBLE), (4, 0.02::DOUBLE), (5, 0.0::DOUBLE), (6, 0.24::DOUBLE), (7, 0.36::DOUBLE)) v(form, bonus) ON o_orderkey % 8 = form"""
+)
+def hits_with_bonus(t):
+    """Collection, type and question by the key: plain; policies unasked, asked; in focus; policies out of focus; unknown; policies by source; policies in focus and asked."""
+    k = F.col("o_orderkey") % 8
+    one = lambda *v: F.element_at(F.array(*[F.lit(x) for x in v]), (k + 1).cast("int"))
+    bonus = Q.bonus(
+        one("c", "static_policy", "static_policy", "c", "static_policy", None, "uploaded_documents", "static_policy"), one(None, "Policy", "policy", "invoice", "policy", None, None, "policy"), one("x", None, None, None, None, None, "Policy", None), _BONUS,
+        one(False, False, True, False, False, None, True, True), one(False, False, False, True, True, None, False, True), one(False, False, False, True, False, None, False, True),
+    )
+    return t.raw("orders").select(F.col("o_orderkey").alias("order_key"), F.round(bonus, 6).alias("bonus"))
+
+
+@query(None)
+def signed_neighbours(t):
+    """Of every hundredth document the ten nearest by signed vectors of their words."""
+    docs = t.raw("documents").select(F.col("doc_id").alias("vec_id"), Q.signed_vector(C.words_of(F.col("text"))).alias("embedding")).where("embedding is not null")
+    docs, _ = written(docs, "signed")  # searched in several passes
+    asked = docs.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return retrieval.dense(docs, asked, 10).select("query_id", "vec_id", "score", F.col("rank").cast("int").alias("rank"))

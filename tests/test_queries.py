@@ -22,15 +22,19 @@ def con():
     return out
 
 
+#: Tested against a library: SQL has no keyed digests.
+WITHOUT_SQL = {"signed_neighbours"}
+
+
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLE_SQL)
+    assert set(QUERIES) - WITHOUT_SQL == set(ORACLE_SQL)
 
 
 def told(x):
     return f"{x:.9g}" if isinstance(x, float) else "null" if x is None else str(x)
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", ORACLE_SQL)
 def test_query_equals_sql(spark, con, name):
     got, want = QUERIES[name](spark, D), con.sql(ORACLE_SQL[name])
     columns = sorted(got.columns)
