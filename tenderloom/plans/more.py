@@ -257,13 +257,6 @@ def quote_context(t):
     return insight.analytics_context(q, "total_cost", "lead_days", C.terms_days(F.col("payment_terms")))
 
 
-@query("SELECT * FROM (VALUES ('delivery', 0.166667), ('price', 0.722222), ('risk', 0.111111)) v(metric, weight)")
-def weights_blended(t):
-    policy = t.spark.createDataFrame([("price", 0.6), ("delivery", 0.3), ("esg", -0.5)], "metric string, weight double")
-    learned = t.spark.createDataFrame([("price", 0.7), ("risk", 0.2), ("esg", 0.1)], "metric string, weight double")
-    return insight.blended_weights(policy, learned)
-
-
 _CANDIDATES = "SELECT l_orderkey AS doc, 'total' AS field, CASE WHEN l_linenumber % 2 = 0 THEN ' ab  c' ELSE 'AB C' END || (l_linenumber // 3)::VARCHAR AS value, l_returnflag AS method, round(l_discount * 5 + 0.3, 4) AS confidence FROM lineitem"
 _CONSENSUS = f"""SELECT * FROM (SELECT *, round(least(1.0, CASE WHEN n_methods >= 2 THEN least(1.0, c + 0.1) ELSE c END + least(0.05 * (n_methods - 1), 0.15)), 3) AS score FROM (SELECT doc, field, upper(regexp_replace(trim(value), '[ \\t\\r\\n]+', ' ', 'g')) AS same, max(confidence) AS c, count(DISTINCT method) AS n_methods, arg_min(value, (-confidence, value)) AS value FROM ({_CANDIDATES}) GROUP BY ALL)) QUALIFY row_number() OVER (PARTITION BY doc, field ORDER BY score DESC, same) = 1"""
 
