@@ -60,16 +60,60 @@ def _angles(centres: np.ndarray):
     return angles
 
 
-def _within_cells(placed: DataFrame, asked: DataFrame, few: bool, salts: int = 32) -> DataFrame:
-    """Vectors and the queries that look into their cell. Many queries are
-    shuffled with the vectors of a cell in `salts` parts, so no cell is one task."""
-    if few:
-        return placed.join(F.broadcast(asked), "cell")
-    parts = placed.withColumn("_s", F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int"))
-    return parts.join(asked.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["cell", "_s"]).drop("_s")
-
-
-def dense(vectors: DataFrame, queries: DataFrame, n: int, cells: int = 64, most_broadcast: int = 4_000_000) -> DataFrame:
+def _nearest(centres: np.ndarray):
+    """A function of Arrow batches: the nearest centre of each vector and the angle to
+    it; -1 and null for a zero vector and one of another length."""
+
+    @F.pandas_udf("a double, cell int")
+    def nearest(vectors: pd.Series) -> pd.DataFrame:
+        a, cell = np.full(len(vectors), np.nan), np.full(len(vectors), -1, dtype=np.int32)
+        at = np.array([i for i, v in enumerate(vectors) if len(v) == centres.shape[1]], dtype=np.int64)
+        if len(at) and len(centres):
+            rows = np.stack([np.asarray(vectors.iloc[i], dtype=np.float64) for i in at])
+            norms = np.linalg.norm(rows, axis=1)
+            angles = np.arccos(np.clip((rows / np.where(norms > 0, norms, 1)[:, None]) @ centres.T, -1, 1))
+            best = angles.argmin(axis=1)
+            a[at], cell[at] = np.where(norms > 0, angles[np.arange(len(at)), best], np.nan), np.where(norms > 0, best, -1)
+        return pd.DataFrame({"a": a, "cell": cell})
+
+    return nearest
+
+
+#: Scores that are computed at once.
+_AT_ONCE = 4_000_000
+
+
+def _block_scores(v: pd.DataFrame, q: pd.DataFrame, n: int) -> pd.DataFrame:
+    """query_id, vec_id, score: for each query the vectors that can be among its n best by
+    a score of 5 places, ties by vec_id. A product of matrices tells them, with a place
+    of the rounding to spare; their scores are then summed in order of the dimensions."""
+    out = []
+    v = v.sort_values("vec_id", ignore_index=True)
+    length, asked = v["v"].map(len), q["q"].map(len)
+    for size in length.unique():
+        vs, qs = v[length == size], q[asked == size]
+        if not len(qs):
+            continue
+        rows, norm = np.stack(vs["v"].to_numpy()).astype(np.float64), vs["norm"].to_numpy()
+        ways = (rows / np.where(norm > 0, norm, 1)[:, None]).T
+        for start in range(0, len(qs), max(1, _AT_ONCE // len(vs))):
+            some = qs.iloc[start : start + max(1, _AT_ONCE // len(vs))]
+            wanted, q_norm = np.stack(some["q"].to_numpy()).astype(np.float64), some["q_norm"].to_numpy()
+            near = (wanted / np.where(q_norm > 0, q_norm, 1)[:, None]) @ ways
+            near[np.isnan(near)] = 2
+            least = np.partition(near, len(vs) - n, axis=1)[:, len(vs) - n] if len(vs) > n else np.full(len(some), -2.0)
+            i, j = np.nonzero(near >= (least - 1.1e-5)[:, None])
+            total = np.zeros(len(i))
+            for d in range(int(size)):
+                total += rows[j, d] * wanted[i, d]
+            both = norm[j] * q_norm[i]
+            score = np.divide(total, both, out=np.zeros(len(i)), where=both != 0)
+            kept = (pd.DataFrame({"i": i, "s": score}).groupby(["i", "s"], dropna=False).cumcount() < n).to_numpy()  # of equal scores the smallest vec_ids
+            out.append(pd.DataFrame({"query_id": some["query_id"].to_numpy()[i[kept]], "vec_id": vs["vec_id"].to_numpy()[j[kept]], "score": score[kept]}))
+    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+
+
+def dense(vectors: DataFrame, queries: DataFrame, n: int, cells: int = 64, most_of_group: int = 4_000_000) -> DataFrame:
     """vectors (vec_id, embedding), queries (query_id, embedding): the n nearest
     by cosine (5 places, ties by vec_id), exactly, without all pairs.
 
@@ -77,44 +121,47 @@ def dense(vectors: DataFrame, queries: DataFrame, n: int, cells: int = 64, most_
     nearest one. A query looks into its nearest cells that hold n vectors first; the
     n-th score found there is a bound: by the triangle inequality of angles a
     vector whose angle to its centre differs from the query's by more than the
-    bound's angle can't be among the n. Cells, then vectors, are left out by it. Vectors
+    bound's angle can't be among the n. Cells are left out by it. Vectors
     without a direction in common gain little by that, but lose nothing.
 
     The centres and the cells' counts go through the driver, a row for each cell.
     A zero vector scores 0, and a zero query looks at all. Vectors and queries that
     are null or have null or NaN entries are left out; those of another length
-    than the query's have no score. Queries of up to most_broadcast numbers,
-    a copy for each cell, are broadcast; more are shuffled.
+    than the query's have no score. A cell is cut into parts of about most_of_group
+    numbers; the queries that look into it meet each of them, as matrices.
     """
     whole = lambda name: F.forall(name, lambda x: x.isNotNull() & ~F.isnan(x))
     norm = lambda name: F.sqrt(dot(F.col(name), F.col(name)))
     v = vectors.where(whole("embedding")).select("vec_id", F.col("embedding").alias("v"), norm("embedding").alias("norm"))
     q = queries.where(whole("embedding")).select("query_id", F.col("embedding").alias("q"), norm("embedding").alias("q_norm"))
-    few = (q.agg(F.sum(F.size("q"))).first()[0] or 0) * (cells + 1) <= most_broadcast
     chosen = [r.c for r in v.where("norm > 0").orderBy(F.xxhash64("vec_id"), "vec_id").limit(cells).select(unit(F.col("v")).alias("c")).collect()]
     centres = np.array(sorted({tuple(c) for c in chosen if len(c) == len(chosen[0])})) if chosen else np.zeros((0, 1))
     angles = _angles(centres)
 
-    nearest = F.array_min(F.transform("as", lambda a, i: F.struct(a.alias("a"), i.alias("cell"))))
-    placed = v.withColumn("as", angles("v")).select("vec_id", "v", "norm", nearest.alias("p")).select("vec_id", "v", "norm", F.col("p.a").alias("a"), F.coalesce("p.cell", F.lit(-1)).alias("cell"))
-    known = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("a").alias("low"), F.max("a").alias("high")).collect()  # a row for each cell
+    placed = v.withColumn("p", _nearest(centres)("v")).select("vec_id", "v", "norm", F.col("p.a").alias("a"), F.col("p.cell").alias("cell"))
+    known = placed.groupBy("cell").agg(F.count("*").alias("n"), F.sum(F.size("v")).alias("numbers"), F.min("a").alias("low"), F.max("a").alias("high")).collect()  # a row for each cell
 
     told = [F.struct(F.get("as", F.lit(r.cell)).alias("qa"), *[F.lit(r[x]).cast(kind).alias(x) for x, kind in (("cell", "int"), ("n", "long"), ("low", "double"), ("high", "double"))]) for r in sorted(known, key=lambda r: r.cell)]
     empty = F.array().cast("array<struct<qa:double,cell:int,n:bigint,low:double,high:double>>")
     asked = q.withColumn("as", angles("q")).select("query_id", "q", "q_norm", (F.array_sort(F.array(*told)) if told else empty).alias("near"))
-    score = F.coalesce(dot(F.col("v"), F.col("q")) / F.nullif(F.col("norm") * F.col("q_norm"), F.lit(0.0)), F.when(F.size("v") == F.size("q"), 0.0))
-    best = lambda pairs: first_n(pairs.select("query_id", "vec_id", F.round(score, 5).alias("score")).where("score is not null"), ["query_id"], [F.desc("score"), F.asc("vec_id")], n, "vec_id")
+    parts = F.create_map(*[F.lit(x) for r in known for x in (r.cell, max(1, min(r.n, -(-r.numbers // max(1, most_of_group)))))])[F.col("cell")] if known else F.lit(1)
+    kinds = [f"{name} {df.schema[name].dataType.simpleString()}" for name, df in (("query_id", q), ("vec_id", v))]
+    cut = placed.select("vec_id", "v", "norm", "cell", F.pmod(F.xxhash64("vec_id"), parts).cast("int").alias("part"))
+
+    def best(looked: DataFrame) -> DataFrame:
+        """The n best of each query in the cells that it looks into."""
+        each = looked.select("query_id", "q", "q_norm", "cell", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))).alias("part"))
+        met = cut.groupBy("cell", "part").cogroup(each.groupBy("cell", "part")).applyInPandas(lambda a, b: _block_scores(a, b, n), ", ".join([*kinds, "score double"]))
+        return first_n(met.select("query_id", "vec_id", F.round("score", 5).alias("score")), ["query_id"], [F.desc("score"), F.asc("vec_id")], n, "vec_id")
 
     counted = F.transform("near", lambda x, i: F.struct(x.alias("x"), F.aggregate(F.slice("near", 1, i), F.lit(0).cast("long"), lambda s, y: s + F.when(y["qa"].isNull(), 0).otherwise(y["n"])).alias("before")))
     close = asked.select("query_id", "q", "q_norm", F.explode(F.filter(counted, lambda y: y["before"] < n)).alias("y")).select("query_id", "q", "q_norm", F.col("y.x.cell").alias("cell"))
-    bound = best(_within_cells(placed, close, few)).groupBy("query_id").agg(F.when(F.count("*") == n, F.min("score")).alias("bound"))
+    bound = best(close).groupBy("query_id").agg(F.when(F.count("*") == n, F.min("score")).alias("bound"))
 
     # A place of the rounding and the error of the angles are allowed for.
     most = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("bound") - 1e-5))) + 1e-6
     rows = asked.join(bound, "query_id", "left").select("query_id", "q", "q_norm", most.alias("most"), F.explode("near").alias("x")).select("query_id", "q", "q_norm", "most", F.col("x.cell").alias("cell"), F.col("x.qa").alias("qa"), F.col("x.low").alias("low"), F.col("x.high").alias("high"))
-    open_cells = rows.where(F.coalesce((F.col("qa") - F.col("high") <= F.col("most")) & (F.col("low") - F.col("qa") <= F.col("most")), F.lit(True))).drop("low", "high")
-    met = _within_cells(placed, open_cells, few)
-    return best(met.where(F.coalesce(F.abs(F.col("qa") - F.col("a")) <= F.col("most"), F.lit(True))))
+    return best(rows.where(F.coalesce((F.col("qa") - F.col("high") <= F.col("most")) & (F.col("low") - F.col("qa") <= F.col("most")), F.lit(True))))
 
 
 def fuse(lists: list[tuple[DataFrame, float]], n: int, k: int = 60) -> DataFrame:

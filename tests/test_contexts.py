@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +96,21 @@ def test_dense_of_nothing(spark):
     assert "Join Cross" not in plan
 
 
+def test_dense_meets_in_blocks(spark):
+    r = random.Random(3)
+    rows = [(i, np.ones(4), 2.0) for i in range(3000)] + [(3000 + i, np.array([r.gauss(0, 1) for _ in range(4)]), None) for i in range(500)] + [(4000, np.zeros(4), 0.0), (4001, np.ones(2), math.sqrt(2))]
+    v = pd.DataFrame([(i, x, float(np.linalg.norm(x))) for i, x, _ in rows], columns=["vec_id", "v", "norm"]).sample(frac=1, random_state=1)
+    q = v[v.vec_id % 500 == 1].rename(columns={"vec_id": "query_id", "v": "q", "norm": "q_norm"})
+    got = retrieval._block_scores(v, q, 3)
+    assert got.groupby("query_id").size().max() < 60  # of thousands of equal vectors only the first go on
+    best = got.assign(s=-got.score.round(5)).sort_values(["query_id", "s", "vec_id"]).groupby("query_id").head(3)
+    want = _brute(list(zip(v.vec_id, v.v)), list(zip(q.query_id, q.q)), 3)
+    assert list(zip(best.query_id, best.vec_id)) == [(a, b) for a, b, _, _ in want]
+    s = spark.createDataFrame([(1, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    plan = retrieval.dense(s, s.withColumnRenamed("vec_id", "query_id"), 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapCoGroups") >= 2 and "zip_with" not in plan.split("FlatMapCoGroups")[0]  # no row for each pair
+
+
 def test_report_on_edges(spark):
     schema = "id long, doc_type string, header map<string,string>, lines array<struct<item_description:string>>, text string, score string"
     full = {"invoice_id": "1", "invoice_date": "2024-02-01", "vendor_name": "V", "buyer_id": "B", "invoice_total_incl_tax": "5"}
