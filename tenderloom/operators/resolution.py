@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tenderloom.functions.fields import company_key, core_words, spellings
 
+#: Names that are sent to every task; more are shuffled with the runs of the texts.
+MOST_BROADCAST = 100_000
 _BETWEEN = "[ \\t\\r\\n\\f,;:.!?()]+"
 
 
@@ -65,7 +67,8 @@ def named_in_texts(texts: DataFrame, suppliers: DataFrame, key: str, text: str)
     the names have are looked up; punctuation between words counts as a blank."""
     words = lambda c: F.filter(F.split(F.lower(c), _BETWEEN), lambda w: w != "")
     known = suppliers.select(words(F.col("supplier_name")).alias("w"), "supplier_name").select(F.array_join("w", " ").alias("run"), F.size("w").alias("n"), "supplier_name").where("length(run) >= 3")
-    lengths = sorted(r.n for r in known.select("n").distinct().collect())  # no more than the longest name's words
+    sizes = known.distinct().groupBy("n").count().collect()  # a row for each length
+    lengths, few = sorted(r.n for r in sizes), sum(r["count"] for r in sizes) <= MOST_BROADCAST
     rows = texts.select(key, words(F.col(text)).alias("w"))
 
     def runs(n: int) -> Column:
@@ -73,7 +76,9 @@ def named_in_texts(texts: DataFrame, suppliers: DataFrame, key: str, text: str)
         return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.lit(n)), " ")))
 
     every = F.concat(*[runs(n) for n in lengths]) if lengths else F.array().cast("array<string>")
-    found = rows.select(key, F.explode(every).alias("run")).join(known.select("run", "supplier_name"), "run")
+    # The runs of all texts are never the side that is sent to every task.
+    side = known.select("run", "supplier_name").distinct()
+    found = rows.select(key, F.explode(every).alias("run")).join(F.broadcast(side) if few else side.hint("merge"), "run")
     return found.groupBy(key).agg(F.min(F.struct((-F.length("supplier_name")).alias("n"), "supplier_name"))["supplier_name"].alias("supplier_name"))
 
 

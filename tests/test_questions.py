@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tenderloom.functions import questions as Q
@@ -70,3 +71,14 @@ def test_names_equal_all_pairs(spark):
     found = resolution._candidates(asked, other.withColumn("s_low", F.lower("supplier_name")).withColumn("_k", F.struct("supplier_id", "s_low")), least)
     got = {(x.name, x._k.supplier_id) for x in found.collect()}
     assert must <= got and len(got) < len(pairs) / 2
+
+
+def test_texts_are_never_broadcast(spark):
+    names = spark.createDataFrame([(f"name {i} of many",) for i in range(2000)], "supplier_name string")
+    texts = spark.createDataFrame([(1, "see Name 7, of many")], "k int, t string")
+    for most in (resolution.MOST_BROADCAST, 0):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(resolution, "MOST_BROADCAST", most)
+            out = resolution.named_in_texts(texts, names, "k", "t")
+        assert ("BuildRight" in (plan := out._jdf.queryExecution().executedPlan().toString())) == (most > 0) and "BuildLeft" not in plan
+        assert [tuple(r) for r in out.collect()] == [(1, "name 7 of many")]
