@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: A response goes to a dispatch from this score on; the last pending one has its own.
 LEAST, SOLE = 0.45, 0.55
@@ -164,15 +165,16 @@ def best_chains(messages: DataFrame, chains: DataFrame, days: int = 5) -> DataFr
     (0.7), or of any if it names none (0.6). Larger thread_index, later created,
     then larger chain_id goes first. Messages without any are left out.
 
-    The interval join is an equality join: time is cut into parts of the interval,
-    of each part that lies within it only the best chain meets the message, and
-    single chains do in the two parts at its ends.
+    No chain meets a message: time is cut into parts of the interval, and chains and
+    messages of a part are one sorted run. The best chain so far is that of the part
+    at the interval's end, the best from there on that of the part at its start; the
+    best of the parts between comes first in the run of the later one.
     """
     open_ = chains.where("awaiting and chain_id is not null").select("chain_id", F.lower(F.col("supplier_id").cast("string")).alias("c_supplier"), F.col("mailbox").alias("c_mailbox"), F.unix_micros(F.col("created").cast("timestamp")).alias("at"), "thread_index")
     order = F.struct(F.coalesce(F.col("thread_index"), F.lit(-1)).alias("t"), "at", "chain_id")
     asked = messages.select("message_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), "refs", F.nullif(F.lower(F.btrim(F.col("supplier_id").cast("string"))), F.lit("")).alias("supplier"), "mailbox")
     fits = F.col("mailbox").isNull() | F.col("c_mailbox").isNull() | (F.col("mailbox") == F.col("c_mailbox"))
-    named = asked.select("message_id", "mailbox", F.explode(F.array_distinct("refs")).alias("chain_id")).join(open_, "chain_id").where(fits)
+    named = asked.select("message_id", "mailbox", F.explode(F.array_distinct("refs")).alias("chain_id")).join(open_.hint("merge"), "chain_id").where(fits)
     named = named.groupBy("message_id").agg(F.max(order).alias("named"))
 
     width = days * 86_400_000_000 // PARTS
@@ -180,14 +182,18 @@ def best_chains(messages: DataFrame, chains: DataFrame, days: int = 5) -> DataFr
     none, every = F.lit("\0none"), F.lit("\0all")
     placed = open_.select(order.alias("o"), "at", part(F.col("at")).alias("part"), F.explode(F.array(F.coalesce("c_mailbox", none), every)).alias("box"), "c_supplier")
     placed = placed.select("o", "at", "part", "box", F.explode(F.filter(F.array("c_supplier", every), lambda x: x.isNotNull())).alias("who"))
+    placed = placed.where("at is not null")
     whole = placed.groupBy("box", "who", "part").agg(F.max("o").alias("o"))
-    rows = asked.withColumn("who", F.coalesce("supplier", every)).withColumn("box", F.explode(F.when(F.col("mailbox").isNull(), F.array(every)).otherwise(F.array(F.col("mailbox"), none))))
-    first, last = part(F.col("ts") - PARTS * width), part(F.col("ts"))
-    inner = rows.select("message_id", "box", "who", F.explode(F.sequence(first + 1, last - 1)).alias("part")).join(whole, ["box", "who", "part"]).select("message_id", "o")
-    ends = rows.select("message_id", "ts", "box", "who", F.explode(F.array(first, last)).alias("part")).join(placed, ["box", "who", "part"])
-    ends = ends.where((F.col("at") <= F.col("ts")) & (F.col("at") >= F.col("ts") - PARTS * width)).select("message_id", "o")
-    near = inner.union(ends).groupBy("message_id").agg(F.max("o").alias("near"))
-    out = asked.select("message_id", "supplier").join(named, "message_id", "left").join(near, "message_id", "left").where("named is not null or near is not null")
+    between = whole.select("box", "who", F.explode(F.sequence(F.col("part") + 1, F.col("part") + (PARTS - 1))).alias("part"), "o").groupBy("box", "who", "part").agg(F.max("o").alias("o"))
+    rows = asked.where("ts is not null and message_id is not null").withColumn("who", F.coalesce("supplier", every)).withColumn("box", F.explode(F.when(F.col("mailbox").isNull(), F.array(every)).otherwise(F.array(F.col("mailbox"), none))))
+    since = F.col("ts") - PARTS * width
+    looks = rows.select("box", "who", F.explode(F.array(F.struct(F.col("ts").alias("at"), F.lit(True).alias("up")), F.struct(since.alias("at"), F.lit(False).alias("up")))).alias("x"), "message_id").select("box", "who", part(F.col("x.at")).alias("part"), "x.at", "x.up", "message_id")
+    run = placed.select("box", "who", "part", "at", "o").unionByName(between.withColumn("at", F.lit(-(2**63)))).unionByName(looks, allowMissingColumns=True)
+    w = Window.partitionBy("box", "who", "part")
+    until, later = (F.max("o").over(w.orderBy(at).rangeBetween(Window.unboundedPreceding, Window.currentRow)) for at in (F.col("at"), F.desc("at")))
+    near = run.select("message_id", "up", until.alias("until"), later.alias("later")).where("message_id is not null")
+    near = near.groupBy("message_id").agg(F.max(F.when(F.col("up"), F.col("until")).otherwise(F.col("later"))).alias("near"))
+    out = asked.select("message_id", "supplier").join(named.hint("merge"), "message_id", "left").join(near.hint("merge"), "message_id", "left").where("named is not null or near is not null")
     via = F.when(F.col("named").isNotNull(), "message_id").otherwise("time_window")
     score = F.when(F.col("named").isNotNull(), 0.75).when(F.col("supplier").isNotNull(), 0.7).otherwise(0.6)
     return out.select("message_id", F.coalesce(F.col("named.chain_id"), F.col("near.chain_id")).alias("chain_id"), via.alias("via"), score.alias("score"))

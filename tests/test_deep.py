@@ -70,6 +70,24 @@ def test_chains_of_the_ends_of_the_interval(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_chains_and_messages_are_one_sorted_run(spark):
+    r = random.Random(5)
+    at = lambda: T0 + timedelta(seconds=r.randrange(86400 * 9))
+    chains = [(f"c{i:03d}", r.choice(["s", "t", None]), r.choice(["a", "b", None]), r.choice([1, 2, None]), at(), r.random() < 0.9) for i in range(300)]
+    messages = [(f"m{i}", at() if i % 9 else chains[i][4] + timedelta(days=i % 2 * 5), [], r.choice(["S", "t", None]), r.choice(["a", "b", None])) for i in range(200)]
+    want = {}
+    for m, ts, _, supplier, box in messages:
+        fit = [((-1 if c[3] is None else c[3]), c[4], c[0]) for c in chains if c[5] and ts - timedelta(days=5) <= c[4] <= ts and (not box or not c[2] or c[2] == box) and (not supplier or supplier.lower() == c[1])]
+        if fit:
+            want[m] = max(fit)[2]
+    chain = "chain_id string, supplier_id string, mailbox string, thread_index int, created timestamp, awaiting boolean"
+    message = "message_id string, ts timestamp, refs array<string>, supplier_id string, mailbox string"
+    out = threads.best_chains(spark.createDataFrame(messages, message), spark.createDataFrame(chains, chain))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") == 3 and plan.count("Window [") == 2
+    assert {x.message_id: x.chain_id for x in out.collect()} == want and len(want) > 100
+
+
 def _typo(r, s):
     s = list(s)
     for _ in range(r.randint(0, 4)):
