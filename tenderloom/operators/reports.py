@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tenderloom.functions.columns import any_date
 from tenderloom.operators.extraction import REQUIRED
+from tenderloom.operators.joins import left_known
 
 # Points of a hundred that a fault costs, dates in order, signs of currencies.
 COSTS = {"missing": 15, "vendor": 10, "buyer": 20, "line": 2, "no_lines": 10, "dates": 10, "order": 5, "sign": 5}
@@ -52,7 +53,6 @@ def quality_report(docs: DataFrame, orders: DataFrame) -> DataFrame:
     nothing = F.array().cast("array<string>")
     rows = docs.select(F.struct(*kept).alias("_row"), F.col("doc_type").alias("_kind"), F.coalesce("header", F.create_map().cast("map<string,string>")).alias("_h"), F.coalesce(F.transform("lines", lambda x: x["item_description"]), nothing).alias("_l"), F.coalesce("text", F.lit("")).alias("_t"))
     known = orders.where("po_id is not null").select(F.col("po_id").cast("string").alias("_po")).distinct().withColumn("_known", F.lit(True))
-    rows = rows.withColumn("_po", F.when(kind == "Invoice", get("po_id"))).join(known, "_po", "left")
 
     text, invoice = F.col("_t"), kind == "Invoice"
     required = _by_kind(kind, {k: F.array(*map(F.lit, v)) for k, v in REQUIRED.items()}, nothing)
@@ -65,13 +65,15 @@ def quality_report(docs: DataFrame, orders: DataFrame) -> DataFrame:
 
     bare = F.filter(F.transform("_l", lambda x, i: F.when(F.coalesce(x, F.lit("")) == "", F.concat(F.lit("line:"), i + 1))), lambda x: x.isNotNull())
     sign = _by_kind(get("currency"), {k: F.lit(v) for k, v in SIGNS.items()}, F.lit(None).cast("string"))
-    warnings = F.concat(
+    before = F.concat(
         listed(F.lit("vendor"), invoice & absent(get("vendor_name"), F.substring(text, 1, HEAD))),
         bare,
         listed(F.lit("no_lines"), kind.isin("Invoice", "Purchase_Order", "Quote") & (F.size("_l") == 0)),
-        listed(F.lit("order"), F.col("_po").isNotNull() & F.col("_known").isNull()),
-        listed(F.lit("sign"), absent(sign, F.substring(text, 1, FRONT))),
     )
-    out = rows.select("_row", errors.alias("errors"), warnings.alias("warnings"))
+    after = listed(F.lit("sign"), absent(sign, F.substring(text, 1, FRONT)))
+    # All that needs the text is worked out before the rows are dealt to the orders.
+    told = rows.select("_row", errors.alias("errors"), before.alias("_before"), after.alias("_after"), F.when(kind == "Invoice", get("po_id")).alias("_po"))
+    unknown = listed(F.lit("order"), F.col("_po").isNotNull() & F.col("_known").isNull())
+    out = left_known(told, known, "_po").select("_row", "errors", F.concat("_before", unknown, "_after").alias("warnings"))
     cost = F.aggregate(F.concat("errors", "warnings"), F.lit(0), lambda s, x: s + _by_kind(F.split_part(x, F.lit(":"), F.lit(1)), {k: F.lit(v) for k, v in COSTS.items()}, F.lit(0)))
     return out.select("_row.*", (F.greatest(100 - cost, F.lit(0)) / 100).alias("score"), (F.size("errors") == 0).alias("valid"), "errors", "warnings")
