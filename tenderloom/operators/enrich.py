@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from tenderloom.functions.columns import alias_key, dot, total, words_of
 from tenderloom.operators.insight import top_values
+from tenderloom.operators.joins import left_known
 from tenderloom.operators.retrieval import first_n
 
 
@@ -96,8 +97,11 @@ def message_ids(messages: DataFrame, threads: DataFrame) -> DataFrame:
     threads (message_id, unique_id); upper case."""
     token = lambda c: F.nullif(F.upper(F.regexp_extract(c, THREAD_TOKEN, 1)), F.lit(""))
     known = threads.groupBy(F.col("message_id").alias("in_reply_to")).agg(F.min("unique_id").alias("_t"))
-    out = messages.join(known, "in_reply_to", "left")
-    return out.select(*messages.columns, F.coalesce(token("subject"), token("body"), F.upper("_t")).alias("unique_id"))
+    # A message's own token is taken first: only one without it asks its thread.
+    told = messages.withColumn("_own", F.coalesce(token("subject"), token("body")))
+    asking = told.select(*messages.columns, "_own", F.when(F.col("_own").isNull(), F.col("in_reply_to")).alias("_asks"))
+    out = left_known(asking, known.withColumnRenamed("in_reply_to", "_asks"), "_asks")
+    return out.select(*messages.columns, F.coalesce("_own", F.upper("_t")).alias("unique_id"))
 
 
 def by_identifiers(messages: DataFrame, dispatches: DataFrame) -> DataFrame:
