@@ -12,9 +12,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tenderloom.functions.columns import id_key, rounded, total
+from tenderloom.functions.columns import MONEY, id_key, rounded, total
 
 SCHEMA = ["detector", "supplier_id", "item_id", "category", "impact", "sources"]
 
@@ -30,7 +29,7 @@ def _finding(rows: DataFrame, detector: str, impact: Column, item: str | None =
 def volume_discount(lines: DataFrame, min_quantity: float, min_spend: float, rate: float = 0.05) -> DataFrame:
     """Items bought in volume from one supplier: quantity or spend reaches the
     minimum. If none does, the largest spend alone is found."""
-    g = lines.groupBy("supplier_id", "item_id").agg(total(F.col("line_total")).alias("spend"), F.sum("quantity").alias("quantity"))
+    g = _spend(lines).select("supplier_id", "item_id", "spend", "quantity")
     ok = (F.col("quantity") >= min_quantity) | (F.col("spend") >= min_spend)
     hits = g.where(ok)
     none = g.groupBy().agg(F.count_if(ok).alias("n"), F.min(F.struct((-F.col("spend")).alias("s"), "supplier_id", "item_id")).alias("b"))
@@ -41,18 +40,45 @@ def volume_discount(lines: DataFrame, min_quantity: float, min_spend: float, rat
 def supplier_consolidation(lines: DataFrame, products: DataFrame, min_spend: float, rate: float = 0.05) -> DataFrame:
     """In a category with several suppliers, all but the one that leads."""
     g = lines.join(products.select("item_id", "category"), "item_id").where("category is not null").groupBy("category", "supplier_id").agg(total(F.col("line_total")).alias("spend"))
-    w = Window.partitionBy("category")
-    ranked = g.withColumn("n", F.count("*").over(w)).withColumn("all", F.sum("spend").over(w)).withColumn("k", F.row_number().over(w.orderBy(F.desc("spend"), "supplier_id")))
-    return _finding(ranked.where((F.col("n") > 1) & (F.col("all") >= min_spend) & (F.col("k") > 1)), "supplier_consolidation", F.col("spend") * rate, category="category")
+    per = g.groupBy("category").agg(F.count("*").alias("n"), F.sum("spend").alias("all"), F.min(F.struct((-F.col("spend")).alias("s"), "supplier_id")).alias("b"))
+    several = per.where((F.col("n") > 1) & (F.col("all") >= min_spend)).select("category", F.col("b.supplier_id").alias("_leads"))
+    rows = g.join(several, "category").where(~F.col("supplier_id").eqNullSafe(F.col("_leads")))
+    return _finding(rows, "supplier_consolidation", F.col("spend") * rate, category="category")
 
 
-def complete_lines(lines: DataFrame) -> DataFrame:
+def _filled(lines: DataFrame) -> DataFrame:
     """Missing figures derived in turn: quantity, price, quantity 1, price from
-    the value, value; rows without a positive price and quantity go."""
+    the value, value."""
     v, p, q = F.col("line_total"), F.col("unit_price"), F.col("quantity")
     out = lines.withColumn("quantity", F.coalesce(q, F.try_divide(v, p))).withColumn("unit_price", F.coalesce(p, F.try_divide(v, F.col("quantity"))))
-    out = out.withColumn("quantity", F.coalesce("quantity", F.lit(1.0))).withColumn("unit_price", F.coalesce("unit_price", v)).withColumn("line_total", F.coalesce(v, F.col("unit_price") * F.col("quantity")))
-    return out.where("unit_price > 0 and quantity > 0")
+    return out.withColumn("quantity", F.coalesce("quantity", F.lit(1.0))).withColumn("unit_price", F.coalesce("unit_price", v)).withColumn("line_total", F.coalesce(v, F.col("unit_price") * F.col("quantity")))
+
+
+def complete_lines(lines: DataFrame) -> DataFrame:
+    """Lines with their missing figures; rows without a positive price and quantity go."""
+    return _filled(lines).where("unit_price > 0 and quantity > 0")
+
+
+def pairs(lines: DataFrame) -> DataFrame:
+    """The sums of each supplier and item that all detectors on lines need; they, and
+    whatever sums lines, take this table for the lines. Money stays exact; the
+    complete_ columns are of the complete lines alone."""
+    own = lines.withColumn("_total", F.col("line_total").cast(MONEY)).withColumn("_quantity", F.col("quantity"))
+    done = lambda c: F.when((F.col("unit_price") > 0) & (F.col("quantity") > 0), c)
+    more = [F.max("ship_date").alias("ship_date")] if "ship_date" in lines.columns else []
+    return _filled(own).groupBy("supplier_id", "item_id").agg(
+        F.sum("_total").alias("line_total"), F.sum("_quantity").alias("quantity"), F.round(F.avg(done(F.col("unit_price"))), 6).alias("complete_price"), F.sum(done(F.col("quantity"))).alias("complete_quantity"),
+        F.sum(done(F.col("line_total").cast(MONEY))).alias("complete_total"), *more,
+    )
+
+
+def _pairs(lines: DataFrame) -> DataFrame:
+    return lines if "complete_price" in lines.columns else pairs(lines)
+
+
+def _spend(lines: DataFrame) -> DataFrame:
+    """supplier_id, item_id, spend, quantity."""
+    return _pairs(lines).select("supplier_id", "item_id", F.coalesce(F.col("line_total").cast("double"), F.lit(0.0)).alias("spend"), "quantity")
 
 
 def price_variance(lines: DataFrame, threshold: float) -> DataFrame:
@@ -66,7 +92,7 @@ def price_variance(lines: DataFrame, threshold: float) -> DataFrame:
 
 def volume_consolidation(lines: DataFrame, min_spend: float) -> DataFrame:
     """What the other suppliers of an item cost more than its cheapest."""
-    g = complete_lines(lines).groupBy("item_id", "supplier_id").agg(F.round(F.avg("unit_price"), 6).alias("price"), F.sum("quantity").alias("quantity"), total(F.col("line_total")).alias("spend"))
+    g = _pairs(lines).where("complete_price is not null").select("item_id", "supplier_id", F.col("complete_price").alias("price"), F.col("complete_quantity").alias("quantity"), F.coalesce(F.col("complete_total").cast("double"), F.lit(0.0)).alias("spend"))
     best = g.groupBy("item_id").agg(F.min(F.struct("price", "supplier_id")).alias("b"), F.count("*").alias("n"), F.sum("spend").alias("all"))
     rows = g.join(best.where((F.col("n") > 1) & (F.col("all") >= min_spend)), "item_id").where(F.col("supplier_id") != F.col("b.supplier_id"))
     rows = rows.withColumn("saved", (F.col("price") - F.col("b.price")) * F.col("quantity")).where("saved > 0")
@@ -101,7 +127,7 @@ def maverick_spend(orders: DataFrame, lines: DataFrame, contracts: DataFrame, su
 
 def duplicate_supplier(lines: DataFrame, min_spend: float) -> DataFrame:
     """Items bought from several suppliers: the top spender, the item's spend."""
-    g = lines.groupBy("item_id", "supplier_id").agg(total(F.col("line_total")).alias("spend"))
+    g = _spend(lines).select("item_id", "supplier_id", "spend")
     per = g.groupBy("item_id").agg(F.count("*").alias("n"), F.sum("spend").alias("all"), F.min(F.struct((-F.col("spend")).alias("s"), "supplier_id")).alias("b"))
     rows = per.where((F.col("n") > 1) & (F.col("all") >= min_spend)).select("item_id", "all", F.col("b.supplier_id").alias("supplier_id"))
     return _finding(rows, "duplicate_supplier", F.col("all"), "item_id")

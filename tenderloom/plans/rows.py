@@ -224,9 +224,9 @@ def final_offers(t):
 
 @query("SELECT ref_id, feedback, coalesce(lower(feedback) = 'rejected', false) AS rejected FROM (SELECT ref_id, CASE supplier_id::INT % 4 WHEN 0 THEN 'Rejected' WHEN 1 THEN 'accepted' END AS feedback FROM findings)")
 def findings_with_feedback(t):
-    from tenderloom.plans.queries import all_findings
+    from tenderloom.plans.queries import written_findings
 
-    every, k = all_findings(t), number("supplier_id")
+    every, k = written_findings(t), number("supplier_id")
     given = every.where(k % 4 < 2).select("ref_id", k.alias("k")).distinct()
     old = given.select("ref_id", F.lit("older").alias("status"), F.lit(1).alias("at"))
     new = given.select("ref_id", F.when(F.col("k") % 4 == 0, "Rejected").otherwise("accepted").alias("status"), F.lit(2).alias("at"))

@@ -10,7 +10,7 @@ from tenderloom.functions import columns as C
 from tenderloom.functions import questions as Q
 from tenderloom.operators import extraction, fits, insight, ranking, resolution, retrieval, structured
 from tenderloom.plans.more import query
-from tenderloom.plans.queries import all_findings
+from tenderloom.plans.queries import written_findings
 from tenderloom.plans.sql import money
 from tenderloom.plans.texts import filled
 from tenderloom.sources.shared import written
@@ -82,7 +82,7 @@ SELECT ref_id, supplier_id, impact, CASE WHEN abs(impact - a) <= abs(impact - b)
 )
 def findings_prioritised(t):
     """Every finding with the score of its cluster of impacts."""
-    return fits.priorities(all_findings(t)).select("ref_id", "supplier_id", "impact", "score")
+    return fits.priorities(written_findings(t)).select("ref_id", "supplier_id", "impact", "score")
 
 
 _LEARNED = f"""{{recursive}},

@@ -7,7 +7,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tenderloom.operators import enrich, reports
+from tenderloom.operators import detectors, enrich, reports
+from tenderloom.plans import queries
+from tenderloom.sources.tables import Tables
 
 
 @pytest.fixture
@@ -40,3 +42,24 @@ def test_messages_that_answer_none_are_dealt_out(shuffled):
     out = enrich.message_ids(messages, shuffled.range(0, 4000, 8).select(k.cast("string").alias("message_id"), F.lit("proc-wf-t9").alias("unique_id")))
     assert Counter(r.unique_id for r in out.collect()) == {"PROC-WF-ABCDE1": 1000, "PROC-WF-T9": 500, None: 2500}
     assert largest_share(out) < 0.3
+
+
+def relations(df, column):
+    """How often the plan reads the table with that column."""
+    return sum("Relation" in x and f"{column}#" in x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines())
+
+
+def test_findings_read_the_lines_once_for_orders_and_once_for_invoices(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    found = queries.all_findings(t)
+    assert relations(found, "l_orderkey") <= 1  # the invoices; the sums are written
+    assert relations(queries.written_findings(t), "l_orderkey") == 0
+
+
+def test_detectors_find_the_same_in_lines_and_in_their_sums(spark):
+    rows = [("s1", "i1", 10.0, None, 30.0, "a"), ("s1", "i1", None, 2.0, 4.0, "b"), ("s2", "i1", 5.0, 1.0, 5.0, "c"), ("s2", "i2", -1.0, 9.0, None, "d"), ("s3", "i2", 0.0, 0.0, None, "e"), ("s3", None, 4.0, 4.0, 16.0, "f"), (None, "i2", 1.0, 1.5, 1.5, "g")]
+    lines = spark.createDataFrame(rows, "supplier_id string, item_id string, quantity double, unit_price double, line_total double, po_id string")
+    products = spark.createDataFrame([("i1", "c"), ("i2", "c")], "item_id string, category string")
+    for detect in (lambda x: detectors.volume_discount(x, 10, 20), lambda x: detectors.volume_discount(x, 1e9, 1e9), lambda x: detectors.supplier_consolidation(x, products, 1), lambda x: detectors.volume_consolidation(x, 1), lambda x: detectors.duplicate_supplier(x, 1)):
+        plain, summed = (sorted(map(str, detect(x).collect())) for x in (lines, detectors.pairs(lines)))
+        assert plain == summed and plain
