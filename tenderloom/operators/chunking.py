@@ -8,15 +8,20 @@ hits, whose number is a parameter of the search before it.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters of a chunk, and how many of the chunk before it a chunk repeats at least.
 LIMIT, OVERLAP = 1800, 200
 #: Characters of a context, and the documents that it holds at least, if it can.
 BUDGET, LEAST_DOCUMENTS = 12000, 3
+#: Characters of chunks that go back to Spark at once.
+AT_ONCE = 1 << 20
 
 _SPACE = " \t\n\x0b\x0c\r"
 _AFTER_SENTENCE = re.compile(rf"(?<=[.!?])[{_SPACE}]+")
@@ -68,6 +73,26 @@ def chunked(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[str]:
     return [re.sub(f"[{_SPACE}]+", " ", " ".join(x)) for x in chunks]
 
 
+def _cut(batches: Iterator[pa.RecordBatch], names: list[str], limit: int, overlap: int) -> Iterator[pa.RecordBatch]:
+    """Keys, places and chunks of (key, text), a text at a time: what a worker
+    holds beyond the batch is AT_ONCE characters and one text's chunks."""
+    for batch in batches:
+        keys, texts = batch.column(0), batch.column(1)
+        at: list[int] = []
+        places: list[int] = []
+        out: list[str] = []
+        size = 0
+        for i in range(len(texts)):
+            found = chunked(texts[i].as_py(), limit, overlap)
+            at += [i] * len(found)
+            places += range(len(found))
+            out += found
+            size += sum(map(len, found))
+            if out and (size >= AT_ONCE or i + 1 == len(texts)):
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int32())), pa.array(places, pa.int32()), pa.array(out, pa.string())], names)
+                at, places, out, size = [], [], [], 0
+
+
 def passage_chunks(docs: DataFrame, key: str, text: str = "text", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """key, chunk (from 0), content: paragraphs (between blank lines) are packed
     as long as a chunk stays within `limit` characters; a longer paragraph is
@@ -77,12 +102,10 @@ def passage_chunks(docs: DataFrame, key: str, text: str = "text", limit: int = L
     own. Runs of space become one. Null and blank texts have no chunk; other
     columns of docs are left out."""
 
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda s: chunked(s, limit, overlap))
-
-    rows = docs.select(F.col(key).alias("_k"), cut(F.coalesce(F.col(text), F.lit(""))).alias("c"))
-    return rows.select(F.col("_k").alias(key), F.posexplode("c").alias("chunk", "content"))
+    names = [key, "chunk", "content"]
+    rows = docs.select(F.col(key), F.col(text).alias("_text")).where("_text is not null")
+    kept = T.StructType([rows.schema[0], T.StructField("chunk", T.IntegerType(), False), T.StructField("content", T.StringType(), False)])
+    return rows.mapInArrow(lambda batches: _cut(batches, names, limit, overlap), kept)
 
 
 def packed(blocks: list[tuple[str | None, int, int]], budget: int, least: int) -> list[tuple[int, int]]:

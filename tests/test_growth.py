@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tenderloom.operators import detectors, enrich, reports
+from tenderloom.operators import chunking, detectors, enrich, joins, policies, reports, resolution
+from tenderloom.plans import more as contexts
 from tenderloom.plans import queries
 from tenderloom.sources.tables import Tables
 
@@ -63,3 +65,43 @@ def test_detectors_find_the_same_in_lines_and_in_their_sums(spark):
     for detect in (lambda x: detectors.volume_discount(x, 10, 20), lambda x: detectors.volume_discount(x, 1e9, 1e9), lambda x: detectors.supplier_consolidation(x, products, 1), lambda x: detectors.volume_consolidation(x, 1), lambda x: detectors.duplicate_supplier(x, 1)):
         plain, summed = (sorted(map(str, detect(x).collect())) for x in (lines, detectors.pairs(lines)))
         assert plain == summed and plain
+
+
+def test_chunks_leave_a_worker_in_small_batches():
+    """A batch of long texts is not held as one batch of chunks."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(["A sentence of words. " * 5000] * 40)], ["doc_id", "text"])
+    out = list(chunking._cut(iter([batch]), ["doc_id", "chunk", "content"], 1800, 200))
+    sizes = [sum(map(len, b.column("content").to_pylist())) for b in out]
+    assert sum(sizes) > 4_000_000 and max(sizes) < chunking.AT_ONCE + 200_000
+    assert [x for b in out for x in b.column("doc_id").to_pylist()] == sorted(x for b in out for x in b.column("doc_id").to_pylist())
+
+
+def test_passages_of_contexts_are_cut_once(spark):
+    found = contexts.QUERIES["contexts_of_passages"](spark, "/root/testdata/sf0.001")
+    assert "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()  # they are written
+    assert "ArrowEvalPython" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_orders_without_a_contract_are_dealt_out(shuffled):
+    k = F.col("id").cast("string")
+    orders = shuffled.range(4000).select(k.alias("po_id"), F.when(F.col("id") % 4 == 0, F.concat(F.lit("C"), k)).alias("contract_id"))
+    contracts = shuffled.range(0, 4000, 8).select(F.concat(F.lit("C"), k).alias("contract_id"), F.concat(F.lit("S"), k).alias("supplier_id"))
+    out = joins.left_known(orders, contracts, "contract_id")
+    assert out.where("supplier_id is not null").count() == 500 and out.count() == 4000
+    assert largest_share(out) < 0.3
+
+
+def test_flow_rows_deal_rows_by_orders_and_items_only(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    plan = resolution.flow_rows(t.suppliers, t.contracts, t.purchase_orders, t.po_lines, t.invoices, t.invoice_lines, t.products)._jdf.queryExecution().optimizedPlan().toString()
+    # The invoices' lines stand below the join with the orders' lines.
+    depth = lambda text: min(len(x) - len(x.lstrip(" :+-")) for x in plan.splitlines() if "Join LeftOuter" in x and text in x)
+    assert depth("invoice_id") > depth("po_id")
+
+
+def test_details_of_a_policy_are_parsed_once(spark):
+    rows = spark.createDataFrame([(1, None, None, '{"policy_name": "A b", "rules": {"name": "R1"}}', None, None)], "policy_id int, policy_name string, policy_desc string, policy_details string, policy_linked_agents string, policy_status int")
+    out = policies.policy_rows(rows)
+    assert [(r.slug, r.identifier, r.aliases) for r in out.collect()] == [("a_b", "1", ["1", "a_b", "r_1"])]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("to_json") + plan.count("structstojson") <= 1
