@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tenderloom.operators import chunking, reports, retrieval
 from tenderloom.plans.more import query
+from tenderloom.sources.shared import written
 
 _CUT = "string_split(regexp_replace({}, '([.!?])[ \\t-\\r]+', '\\1' || chr(2) || chr(3), 'g'), chr(2) || chr(3))"
 
@@ -49,7 +50,9 @@ def contexts_of_passages(t):
     """The 30 best passages of the stated queries, packed with at least three documents."""
     bench = t.raw("benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), "text")
     passages = chunking.passage_chunks(t.raw("documents"), "doc_id").select((F.col("doc_id").cast("long") * 100000 + F.col("chunk")).alias("doc_id"), F.col("content").alias("text"))
-    hits = retrieval.bm25(passages, bench, 30).join(passages, "doc_id")
+    passages = written(passages, "passages")[0]  # read for sizes, terms and texts; cut once
+    best = retrieval.bm25(passages, bench, 30)
+    hits = passages.join(F.broadcast(best), "doc_id")  # 30 rows of each query, whose terms are broadcast as well
     out = chunking.packed_context(hits.withColumn("document", F.floor(F.col("doc_id") / 100000)), "document", "text")
     return out.select("query_id", "place", "rank", "document", "n_chars", F.md5("block").alias("block_md5"))
 
