@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderloom.functions.fields import company_key, core_words, spellings
+from tenderloom.operators.joins import left_known
 
 #: Names that are sent to every task; more are shuffled with the runs of the texts.
 MOST_BROADCAST = 100_000
@@ -90,10 +91,12 @@ def flow_rows(suppliers: DataFrame, contracts: DataFrame, orders: DataFrame, lin
     partner stay with nulls."""
     by_contract = contracts.select("contract_id", F.col("supplier_id").alias("contract_supplier"))
     line = lines.select("po_id", F.col("supplier_id").alias("line_supplier"), "item_id", "line_total")
-    rows = orders.select("po_id", "contract_id").join(line, "po_id", "left").join(by_contract, "contract_id", "left").withColumn("supplier_id", F.coalesce("line_supplier", "contract_supplier"))
-    rows = rows.join(suppliers.select("supplier_id", "supplier_name"), "supplier_id", "left").join(products.select("item_id", "product", "category"), "item_id", "left")
-    invoice = invoices.select("po_id", "supplier_id", "invoice_id", "invoice_amount")
-    return rows.join(invoice, ["po_id", "supplier_id"], "left").join(invoice_lines.select("invoice_id", F.col("item_id").alias("invoice_item"), "line_amount"), "invoice_id", "left")
+    # Contracts meet the bare orders and invoices their own lines, so that the long rows are dealt out as seldom as can be.
+    heads = left_known(orders.select("po_id", "contract_id"), by_contract, "contract_id")
+    rows = heads.join(line, "po_id", "left").withColumn("supplier_id", F.coalesce("line_supplier", "contract_supplier"))
+    billed = invoices.select("po_id", "supplier_id", "invoice_id", "invoice_amount").join(invoice_lines.select("invoice_id", F.col("item_id").alias("invoice_item"), "line_amount"), "invoice_id", "left")
+    rows = left_known(rows.join(billed, ["po_id", "supplier_id"], "left"), suppliers.select("supplier_id", "supplier_name"), "supplier_id")
+    return left_known(rows, products.select("item_id", "product", "category"), "item_id")
 
 
 def supplier_of_lines(lines: DataFrame, by_invoice: DataFrame, by_order: DataFrame) -> DataFrame:
