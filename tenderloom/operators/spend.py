@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderloom.functions.columns import alias_key, id_key, price_of, quantity_of, rounded, total
+from tenderloom.operators.joins import left_known
 
 #: Pounds for a unit of currency where no rate table is given.
 DEFAULT_RATES = {"GBP": 1.0, "USD": 0.79}
@@ -52,7 +53,7 @@ def procurement_flow(suppliers: DataFrame, contracts: DataFrame, orders: DataFra
     """Per supplier: orders, lines, contracts and invoices that hang together.
     An order's supplier is that of its lines, else of its contract."""
     by_contract = contracts.select("contract_id", F.col("supplier_id").alias("_c"))
-    heads = orders.select("po_id", "contract_id").join(by_contract, "contract_id", "left").select("po_id", "_c")
+    heads = left_known(orders.select("po_id", "contract_id"), by_contract, "contract_id").select("po_id", "_c")
     flow = heads.join(lines.select("po_id", "supplier_id", "line_total"), "po_id", "left").withColumn("supplier_id", F.coalesce("supplier_id", "_c"))
     per = flow.groupBy("supplier_id").agg(F.countDistinct("po_id").alias("n_orders"), F.count("line_total").alias("n_lines"), F.round(total(F.col("line_total")), 2).alias("spend"))
     inv = invoices.groupBy("supplier_id").agg(F.count("*").alias("n_invoices"))
