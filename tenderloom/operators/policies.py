@@ -19,14 +19,17 @@ def policy_rows(rows: DataFrame) -> DataFrame:
     """Active policies (status null or 1): policy_id, identifier, slug, sorted
     aliases. The slug is of the name, else of the details' name or identifier, the
     description, the id."""
-    d = details_of(F.col("policy_details"))
-    part = lambda path: F.get_json_object(d, path)
-    name, text, key = F.col("policy_name"), F.col("policy_desc"), F.col("policy_id").cast("string")
-    ladder = [slug(name), slug(part("$.policy_name")), slug(part("$.identifier")), slug(text), slug(key)]
-    more = [slug(part("$.policy_identifier")), slug(part("$.rules.name")), slug(part("$.rules.policy_name"))]
+    # Policies are short and their parsing is long: a file of few bytes is dealt to many tasks, details and slugs are told once.
+    active = rows.where(F.coalesce("policy_status", F.lit(1)) == 1).repartition("policy_id")
+    active = active.withColumn("_d", details_of(F.col("policy_details")))
+    paths = {"_name": "$.policy_name", "_id": "$.identifier", "_pid": "$.policy_identifier", "_rule": "$.rules.name", "_rules": "$.rules.policy_name"}
+    parts = active.select("*", *[F.get_json_object("_d", path).alias(c) for c, path in paths.items()])
+    key = F.col("policy_id").cast("string")
+    ladder = [slug(x) for x in (F.col("policy_name"), F.col("_name"), F.col("_id"), F.col("policy_desc"), key)]
     agents = F.transform(listed(F.coalesce("policy_linked_agents", F.lit(""))), slug)
-    aliases = F.array_sort(F.array_distinct(F.array_compact(F.concat(F.array(*ladder, *more), agents))))
-    return rows.where(F.coalesce("policy_status", F.lit(1)) == 1).select("policy_id", F.coalesce(part("$.policy_identifier"), part("$.identifier"), key).alias("identifier"), F.coalesce(*ladder).alias("slug"), aliases.alias("aliases"))
+    told = parts.select("policy_id", F.coalesce("_pid", "_id", key).alias("identifier"), F.array(*ladder).alias("_ladder"), F.array(*[slug(F.col(c)) for c in ("_pid", "_rule", "_rules")]).alias("_more"), agents.alias("_agents"))
+    aliases = F.array_sort(F.array_distinct(F.array_compact(F.concat("_ladder", "_more", "_agents"))))
+    return told.select("policy_id", "identifier", F.get(F.array_compact("_ladder"), F.lit(0)).alias("slug"), aliases.alias("aliases"))
 
 
 def registry(detectors: DataFrame, policies: DataFrame) -> DataFrame:
