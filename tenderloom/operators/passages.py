@@ -1,36 +1,69 @@
 """Passages of texts: sentences that answer a query and differ from each other,
 and lines by kind with the section that they stand in.
 
-Both work within a row by built-in array functions, without a shuffle.
+Both work within a row, without a shuffle.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
+import re
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenderloom.functions.columns import words_of
-
 #: Characters of a selection, its share of the text, sentences that compete, and the weight of relevance against novelty.
 MOST_CHARS, MOST_SHARE, CONSIDERED, RELEVANCE = 1200, 0.7, 50, 0.75
 #: A text of so few sentences that are all short stays as it is.
 FEW, SHORT = 3, 120
 
 
-def sentences(text: Column) -> Column:
+def sentences(text: str) -> list[str]:
     """Runs up to and with the marks . ! ?, without space around them."""
-    return F.filter(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[^.!?]+[.!?]*"), F.lit(0)), lambda s: F.regexp_replace(s, "^[ \\t-\\r]+|[ \\t-\\r]+$", "")), lambda s: s != "")
+    return [s for s in (x.strip(" \t\n\v\f\r") for x in re.findall("[^.!?]+[.!?]*", text)) if s]
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """The cosine of two sets of words; 0 if either is empty."""
-    product = F.size(a) * F.size(b)
-    return F.when(product > 0, F.size(F.array_intersect(a, b)) / F.sqrt(product)).otherwise(0.0)
+def words(text: str) -> frozenset[str]:
+    """Distinct lower-case runs of a-z and 0-9."""
+    return frozenset(re.findall("[a-z0-9]+", text.lower()))
+
 
+_asked = lru_cache(64)(words)
 
-def _bound(value: Column, f) -> Column:
-    """f(value), where value is worked out once."""
-    return F.element_at(F.transform(F.array(value), f), 1)
+
+def likeness(a: frozenset[str], b: frozenset[str]) -> float:
+    """The cosine of two sets of words; 0 if either is empty."""
+    return len(a & b) / math.sqrt(len(a) * len(b)) if a and b else 0.0
+
+
+def selected(text: str, query: str, most_chars: int) -> tuple[str, int]:
+    """The selection of one text and the number of its sentences."""
+    every = sentences(text)
+    if len(every) <= FEW and all(len(s) < SHORT for s in every):
+        return text[:most_chars], len(every)
+    q, ranked = _asked(query), []
+    for i, s in enumerate(every):
+        w = words(s)
+        ranked.append((-min(1.0, 0.1 + 0.9 * len(q & w) / (len(w) + 1)), i, s, w))
+    ranked = sorted(ranked)[:CONSIDERED]
+    # A value only falls as more are chosen, so one is worked out anew when it is the best so far; ties go by rank.
+    heap, limit, chars, chosen = [(RELEVANCE * x[0], j, 0.0, 0) for j, x in enumerate(ranked)], min(most_chars, math.floor(len(text) * MOST_SHARE)), 0, []
+    while heap and (not chosen or chars < limit):
+        _, j, near, seen = heap[0]
+        r, _, s, w = ranked[j]
+        if seen < len(chosen):
+            near = max(near, *(likeness(w, ranked[k][3]) for k in chosen[seen:]))
+            heapq.heapreplace(heap, (RELEVANCE * r + (1 - RELEVANCE) * near, j, near, len(chosen)))
+            continue
+        heapq.heappop(heap)
+        if chosen and chars + len(s) > limit:
+            break
+        chosen.append(j)
+        chars += len(s) + 1
+    return " ".join(ranked[j][2] for j in chosen)[:most_chars], len(chosen)
 
 
 def select_sentences(docs: DataFrame, query: str, text: str = "text", most_chars: int = MOST_CHARS) -> DataFrame:
@@ -46,34 +79,14 @@ def select_sentences(docs: DataFrame, query: str, text: str = "text", most_chars
     text gives a null selection. Columns of the results' names are replaced.
     """
     kept = [c for c in docs.columns if c not in ("selection", "n_selected")]
-    q = F.array_distinct(words_of(F.col(query)))
-    rows = docs.select(F.struct(*kept).alias("row"), F.col(text).alias("t"), q.alias("q"), sentences(F.col(text)).alias("all"))
-    told = F.transform("all", lambda s, i: F.struct(s.alias("s"), i.alias("i"), F.array_distinct(words_of(s)).alias("w")))
-    rows = rows.select("row", "t", "q", "all", told.alias("told"))
-    relevance = lambda x: F.least(F.lit(1.0), 0.1 + 0.9 * F.size(F.array_intersect("q", x["w"])) / (F.size(x["w"]) + 1))
-    ranked = F.transform("told", lambda x: F.struct((-relevance(x)).alias("r"), x["i"].alias("i"), x["s"].alias("s"), x["w"].alias("w")))
-    rows = rows.select("row", "t", "all", F.slice(F.array_sort(ranked), 1, CONSIDERED).alias("c"))
-    limit = F.least(F.lit(most_chars), F.floor(F.char_length("t") * MOST_SHARE).cast("int"))
-    c = F.col("c")
-
-    def step(state: Column, _: Column) -> Column:
-        value = lambda x, i: F.when(~F.array_contains(state["chosen"], i), F.struct((-RELEVANCE * x["r"] - (1 - RELEVANCE) * state["near"][i]).alias("v"), (-i).alias("i")))
-        best = F.array_max(F.transform(c, value))["i"]
-
-        def taken(pick: Column) -> Column:
-            size = state["chars"] + F.char_length(c[pick]["s"]) + 1
-            fits = (F.size(state["chosen"]) == 0) | (size - 1 <= limit)
-            near = F.zip_with(state["near"], c, lambda n, x: F.greatest(n, likeness(x["w"], c[pick]["w"])))
-            return F.when(fits, F.struct(F.concat(state["chosen"], F.array(pick)).alias("chosen"), near.alias("near"), size.alias("chars"), (size < limit).alias("open"))).otherwise(F.struct(state["chosen"].alias("chosen"), state["near"].alias("near"), state["chars"].alias("chars"), F.lit(False).alias("open")))
-
-        return F.when(state["open"] & (F.size(state["chosen"]) < F.size(c)), _bound(-best, taken)).otherwise(state)
-
-    first = F.struct(F.array().cast("array<int>").alias("chosen"), F.array_repeat(F.lit(0.0), F.size(c)).alias("near"), F.lit(0).alias("chars"), (F.size(c) > 0).alias("open"))
-    chosen = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(c), F.lit(1))), first, step)["chosen"]
-    short = (F.size("all") <= FEW) & F.forall("all", lambda s: F.char_length(s) < SHORT)
-    picked = F.when(short, F.substring("t", 1, most_chars)).otherwise(F.substring(F.array_join(F.transform("chosen", lambda i: c[i]["s"]), " "), 1, most_chars))
-    rows = rows.select("row", "t", "all", "c", chosen.alias("chosen"))
-    return rows.select("row.*", picked.alias("selection"), F.when(F.col("t").isNotNull(), F.when(short, F.size("all")).otherwise(F.size("chosen"))).alias("n_selected"))
+
+    def select(texts: pa.Array, queries: pa.Array) -> pa.Array:
+        pairs = ((t.as_py(), q.as_py() or "") for t, q in zip(texts, queries, strict=True))
+        return pa.array([None if t is None else selected(t, q, most_chars) for t, q in pairs], pa.struct([("selection", pa.string()), ("n_selected", pa.int32())]))
+
+    picked = F.arrow_udf(select, "selection string, n_selected int")(F.col(text).cast("string"), F.col(query).cast("string"))
+    rows = docs.select(*kept, picked.alias("_picked"))
+    return rows.select(*kept, "_picked.selection", "_picked.n_selected")
 
 
 def line_kinds(docs: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -134,6 +134,16 @@ def test_sentences(spark):
     assert len(got[5].selection) == 1200 and got[5].n_selected == 1
 
 
+def test_sentences_of_long_texts_cost_few_comparisons(monkeypatch):
+    """Of the sentences that compete, only the best so far are compared with those chosen."""
+    calls, likeness = [], passages.likeness
+    monkeypatch.setattr(passages, "likeness", lambda a, b: calls.append(1) or likeness(a, b))
+    text = " ".join(f"Bolt {i % 7} of lot {i} is here now." for i in range(400))
+    found, n = passages.selected(text, "bolt lot 5", 1200)
+    assert n > 20 and len(found) <= 1200 and len(calls) < n * passages.CONSIDERED / 2
+    assert passages.sentences(" One!  Two \u2028") == ["One!", "Two \u2028"]  # as in SQL, a mark of a line's end is no end of the text
+
+
 def test_lines(spark):
     text = "ANNUAL REPORT\n\nBuyer: Acme Ltd\n1 Scope of work\nWe deliver.  Soon\nIt goes on, and on.\r\n\nItem | Price\nTotal:\n"
     got = [tuple(r)[1:] for r in passages.line_kinds(spark.createDataFrame([(1, text), (2, None), (3, "")], "k int, text string"), "k").orderBy("line").collect()]
