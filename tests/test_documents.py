@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from tenderloom.functions import documents as D
@@ -70,3 +73,17 @@ def test_lines_by_their_last_words(spark):
     text = "Hex  bolt\tM8 12 £0.50 £6.00\nno 1 2\n5 1.00 5.00\nGrand total 1 £6.00 £6.00\nNut 1 2 three"
     got = extraction.line_items(spark.createDataFrame([(1, text)], "k int, r string"), "k", "r").collect()
     assert [(x.item, x.quantity, x.unit_price, x.amount) for x in got] == [("Hex bolt M8", "12", "£0.50", "£6.00")]
+
+
+def test_patterns_look_at_one_letter_before_their_words(spark):
+    """Labels and months are tried only where one of them can begin, and the same is found as without that look."""
+    plain = lambda p: re.sub(r"\(\?=\[[a-z]+\]\)", "", p)
+    r = random.Random(3)
+    parts = ["Total", "TOTAL due", "grand total", "sub-total", "Sub Total\n", "VAT", "tax", "Tax (20%): ", "net 30", "net amount", "terms", "within", "due in", "due date", "days", "payment is", "upon receipt", "immediately", "Date", "issued on", "P.O. date", "invoice no", "inv.", "£", "$5", "1,200.50", "30", " 12 ", "2024", "05/06/2024", "2024-05-06", "March", "may", "Dec", "5th", "sales tax", "x", "#", ":", ".", "\n", "\n", " "]
+    texts = spark.createDataFrame([("".join(r.choice(parts) + r.choice(["", " ", " "]) for _ in range(r.randint(1, 25))),) for _ in range(1500)], "t string").repartition(4).cache()
+    groups = [*D.DATES, *D.TOTAL, *D.SUBTOTAL, *D.TAX, *D.TERMS, D.AFTER_SUBTOTAL, D.AT_ONCE, *D.INVOICE_DATE, *D.DUE_DATE, *D.ORDER_DATE]
+    looking = [p for p in groups if plain(p) != p]
+    assert len(looking) >= 14
+    every = lambda p: F.regexp_extract_all("t", F.lit(p), F.lit(0))
+    same, found = texts.select(*[(every(p) == every(plain(p))).alias(f"s{i}") for i, p in enumerate(looking)], *[F.size(every(p)).alias(f"n{i}") for i, p in enumerate(looking)]).agg(F.array(*[F.bool_and(f"s{i}") for i in range(len(looking))]), F.array(*[F.sum(f"n{i}") for i in range(len(looking))])).first()
+    assert all(same) and sum(n > 0 for n in found) >= 12
