@@ -9,13 +9,14 @@ from __future__ import annotations
 import heapq
 import math
 import re
+from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of a selection, its share of the text, sentences that compete, and the weight of relevance against novelty.
+#: Characters of a selection, its share of the text, sentences that enter at a time, and the weight of relevance against novelty.
 MOST_CHARS, MOST_SHARE, CONSIDERED, RELEVANCE = 1200, 0.7, 50, 0.75
 #: A text of so few sentences that are all short stays as it is.
 FEW, SHORT = 3, 120
@@ -48,15 +49,26 @@ def selected(text: str, query: str, most_chars: int) -> tuple[str, int]:
     for i, s in enumerate(every):
         w = words(s)
         ranked.append((-min(1.0, 0.1 + 0.9 * len(q & w) / (len(w) + 1)), i, s, w))
-    ranked = sorted(ranked)[:CONSIDERED]
+    ranked.sort()
+    count = Counter(x for *_, w in ranked for x in w)
     # A value only falls as more are chosen, so one is worked out anew when it is the best so far; ties go by rank.
-    heap, limit, chars, chosen = [(RELEVANCE * x[0], j, 0.0, 0) for j, x in enumerate(ranked)], min(most_chars, math.floor(len(text) * MOST_SHARE)), 0, []
-    while heap and (not chosen or chars < limit):
-        _, j, near, seen = heap[0]
+    # The next CONSIDERED enter once the first of them, as yet like nothing, could be the best. Sentences of as many
+    # words that differ only in words of no other sentence are as like the rest: they are compared once (`like`).
+    heap, fed, limit, chars, chosen, like = [], 0, min(most_chars, math.floor(len(text) * MOST_SHARE)), 0, [], {}
+    while (heap or fed < len(ranked)) and (not chosen or chars < limit):
+        if fed < len(ranked) and (not heap or heap[0][:2] > (RELEVANCE * ranked[fed][0], fed)):
+            for j in range(fed, min(fed + CONSIDERED, len(ranked))):
+                heapq.heappush(heap, (RELEVANCE * ranked[j][0], j, 0))
+            fed += CONSIDERED
+            continue
+        _, j, seen = heap[0]
         r, _, s, w = ranked[j]
         if seen < len(chosen):
-            near = max(near, *(likeness(w, ranked[k][3]) for k in chosen[seen:]))
-            heapq.heapreplace(heap, (RELEVANCE * r + (1 - RELEVANCE) * near, j, near, len(chosen)))
+            kind = frozenset(x for x in w if count[x] > 1), len(w)
+            near, seen = like.get(kind, (0.0, 0))
+            near = max(near, *(likeness(w, ranked[k][3]) for k in chosen[seen:])) if seen < len(chosen) else near
+            like[kind] = near, len(chosen)
+            heapq.heapreplace(heap, (RELEVANCE * r + (1 - RELEVANCE) * near, j, len(chosen)))
             continue
         heapq.heappop(heap)
         if chosen and chars + len(s) > limit:
@@ -73,8 +85,8 @@ def select_sentences(docs: DataFrame, query: str, text: str = "text", most_chars
     earlier one. relevance is 0.1 + 0.9 * (words in common) / (words of the sentence + 1).
 
     The first one is always taken; the next is as long as they stay, joined by
-    spaces, within most_chars and MOST_SHARE of the text. The CONSIDERED most
-    relevant compete, so a row's work is bounded by them. A text of up to FEW
+    spaces, within most_chars and MOST_SHARE of the text. All sentences compete;
+    a row's work is a sort of them and the likenesses of those that come up. A text of up to FEW
     sentences, all short, stays. Longer selections are cut at most_chars; a null
     text gives a null selection. Columns of the results' names are replaced.
     """

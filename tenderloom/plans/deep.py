@@ -67,7 +67,7 @@ _WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+
 x AS (SELECT doc_id, text, {_SENTENCES} AS a, {_WORDS.format('asked')} AS q FROM documents JOIN (SELECT text AS asked, item_id FROM benchmark) ON item_id = doc_id % 40),
 y AS (SELECT doc_id, unnest(a) AS s, unnest(range(len(a))) AS i, q FROM (SELECT doc_id, a, q FROM x)),
 z AS (SELECT doc_id, i, s, {_WORDS.format('s')} AS w, q FROM y),
-r AS (SELECT doc_id, i, s, w, least(1.0::DOUBLE, 0.1::DOUBLE + 0.9::DOUBLE * len(list_intersect(q, w)) / (len(w) + 1)) AS rel FROM z QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY rel DESC, i) <= 50),
+r AS (SELECT doc_id, i, s, w, least(1.0::DOUBLE, 0.1::DOUBLE + 0.9::DOUBLE * len(list_intersect(q, w)) / (len(w) + 1)) AS rel FROM z),
 c AS (SELECT doc_id, list(struct_pack(s := s, w := w, rel := rel) ORDER BY rel DESC, i) AS c FROM r GROUP BY 1),
 p AS (SELECT doc_id, c, least(1200, floor(length(text) * 0.7::DOUBLE)) AS most FROM c JOIN x USING (doc_id)),
 g AS (SELECT doc_id, c, most, []::BIGINT[] AS chosen, list_transform(c, lambda x: 0.0::DOUBLE) AS near, 0::BIGINT AS chars, true AS going FROM p
